@@ -1,19 +1,12 @@
-"""All registered queries (SQL-checked catalog + model/streaming jobs)."""
+"""All registered queries (SQL-checked catalog + model and streaming jobs)."""
 
 from __future__ import annotations
 
 
 def all_queries():
-    from . import catalog
+    from . import catalog, modeling
+    from ..streaming import jobs
     out = dict(catalog.Q)
-    try:
-        from . import modeling
-        out.update(modeling.Q)
-    except ImportError:
-        pass
-    try:
-        from ..streaming import jobs
-        out.update(jobs.Q)
-    except ImportError:
-        pass
+    out.update(modeling.Q)
+    out.update(jobs.Q)
     return out
