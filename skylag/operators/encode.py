@@ -25,7 +25,7 @@ from .. import config as C
 from ..session import materialize, shared_path
 from .features import add_route_features
 from .lookups import lookup_with_fallback, sized
-from .stats import airport_traffic, exact_quantiles, historical_bundle
+from .stats import exact_quantiles, historical_bundle
 
 STAT_KEYS = ("ROUTE", "AIRLINE", "DEP_HOUR", "ORIGIN_AIRPORT", "DESTINATION_AIRPORT")
 
@@ -105,26 +105,46 @@ def one_hot_vocab(train: DataFrame, cols=C.CAT_LOW_CLS) -> dict:
 
 
 def fit_features(train: DataFrame, quantile=C.HUB_QUANTILE, cat_low=C.CAT_LOW_CLS) -> FeatureModel:
-    """E8 fit side: all statistics from the training rows only."""
+    """E8 fit side: all statistics from the training rows only, in ONE pass.
+
+    A single grouping-sets aggregation over the training rows yields: the
+    route/airline/hour means and late rates (J3), the origin/destination
+    target means (E3), departures and arrivals per airport (the row counts
+    of the origin/destination levels, J5) and the one-hot vocabularies (the
+    keys of the low-cardinality levels, E1). It is written once to the
+    shared folder; everything else is derived from that small table.
+    """
     if "ROUTE" not in train.columns:
         train = add_route_features(train)
-    stats = materialize(historical_bundle(train, keys=STAT_KEYS), "feature-stats")
+    keys = list(STAT_KEYS) + [c for c in cat_low if c not in STAT_KEYS]
+    stats = materialize(historical_bundle(train, keys=keys), "feature-stats")
     counts = {r["level"]: r["cnt"] for r in stats.groupBy("level").agg(F.count(F.lit(1)).alias("cnt")).collect()}
     g = stats.filter(F.col("level") == "GLOBAL").select("delay_mean", "delay_rate").first()
     gm = float(g["delay_mean"]) if g and g["delay_mean"] is not None else 0.0
     gr = float(g["delay_rate"]) if g and g["delay_rate"] is not None else 0.0
-    traffic = airport_traffic(train)
-    q = exact_quantiles(traffic, "total_movements", [quantile]).first()
-    thr = float(q["value"]) if q and q["value"] is not None else float("inf")
-    hubs = traffic.select("airport", (F.col("total_movements") >= F.lit(thr)).cast("int").alias("is_hub"))
     o = stats.filter(F.col("level") == "ORIGIN_AIRPORT").select(
-        F.col("ORIGIN_AIRPORT").alias("airport"), F.col("delay_mean").alias("origin_te"))
+        F.col("ORIGIN_AIRPORT").alias("airport"), F.col("delay_mean").alias("origin_te"),
+        F.col("n").alias("departures"))
     d = stats.filter(F.col("level") == "DESTINATION_AIRPORT").select(
-        F.col("DESTINATION_AIRPORT").alias("airport"), F.col("delay_mean").alias("dest_te"))
-    airports = materialize(hubs.join(o, "airport", "full_outer").join(d, "airport", "full_outer"), "feature-airports")
+        F.col("DESTINATION_AIRPORT").alias("airport"), F.col("delay_mean").alias("dest_te"),
+        F.col("n").alias("arrivals"))
+    # Full outer alignment of the two counts, missing = 0 (airport-sized tables)
+    traffic = o.join(d, "airport", "full_outer").withColumn(
+        "total_movements", F.coalesce("departures", F.lit(0)) + F.coalesce("arrivals", F.lit(0)))
+    q = exact_quantiles(traffic, "total_movements", [quantile]).first()
+    thr = float(q["value"]) if q and q["value"] is not None else float("inf")
+    airports = materialize(traffic.select(
+        "airport", (F.col("total_movements") >= F.lit(thr)).cast("int").alias("is_hub"), "origin_te", "dest_te"),
+        "feature-airports")
     rows = dict(counts)
     rows["AIRPORTS"] = airports.count()
-    vocab = one_hot_vocab(train, cat_low) if cat_low else {}
+    vocab = {}
+    if cat_low:
+        vrows = (stats.filter(F.col("level").isin(list(cat_low)))
+                 .select("level", F.coalesce(*[F.col(c).cast("string") for c in cat_low]).alias("v")).collect())
+        for c in cat_low:
+            vocab[c] = sorted(r["v"] for r in vrows if r["level"] == c and r["v"] is not None)
+    stats = stats.filter(~F.col("level").isin([c for c in cat_low if c not in STAT_KEYS]))
     return FeatureModel(stats=stats, airports=airports, global_mean=gm, global_rate=gr,
                         hub_threshold=thr, vocab=vocab, rows=rows)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
+from ..session import materialize
 
 Y = "ARRIVAL_DELAY"
 
@@ -89,6 +90,9 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
     """
     sum_cols = list(sum_cols)
     parts = list(partition_cols)
+    # the input is an aggregate read twice (cut points, then sums): write it
+    # once instead of recomputing its whole upstream plan
+    df = materialize(df, "prefix-input")
     v = F.col(order_col)
     fr = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(v, fr, 10000)).first()
