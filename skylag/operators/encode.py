@@ -131,7 +131,8 @@ def fit_features(train: DataFrame, quantile=C.HUB_QUANTILE, cat_low=C.CAT_LOW_CL
     # Full outer alignment of the two counts, missing = 0 (airport-sized tables)
     traffic = o.join(d, "airport", "full_outer").withColumn(
         "total_movements", F.coalesce("departures", F.lit(0)) + F.coalesce("arrivals", F.lit(0)))
-    q = exact_quantiles(traffic, "total_movements", [quantile]).first()
+    # airport-level table (IATA codes): bounded, so one range suffices
+    q = exact_quantiles(traffic, "total_movements", [quantile], bounded=True).first()
     thr = float(q["value"]) if q and q["value"] is not None else float("inf")
     airports = materialize(traffic.select(
         "airport", (F.col("total_movements") >= F.lit(thr)).cast("int").alias("is_hub"), "origin_te", "dest_te"),

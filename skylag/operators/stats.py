@@ -90,13 +90,16 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
     """
     sum_cols = list(sum_cols)
     parts = list(partition_cols)
-    # the input is an aggregate read twice (cut points, then sums): write it
-    # once instead of recomputing its whole upstream plan
-    df = materialize(df, "prefix-input")
     v = F.col(order_col)
-    fr = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(v, fr, 10000)).first()
-    cuts = sorted({c for c in (row[0] or []) if c is not None})
+    if buckets > 1:
+        # the input is an aggregate read twice (cut points, then sums): write
+        # it once instead of recomputing its whole upstream plan
+        df = materialize(df, "prefix-input")
+        fr = [i / buckets for i in range(1, buckets)]
+        row = df.agg(F.percentile_approx(v, fr, 10000)).first()
+        cuts = sorted({c for c in (row[0] or []) if c is not None})
+    else:
+        cuts = []   # caller guarantees a bounded input (one range)
     if cuts:
         b = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v))
         if descending:
@@ -118,17 +121,19 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
         (F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sum_cols])
 
 
-def exact_quantiles(df: DataFrame, c: str, probs, by=()) -> DataFrame:
+def exact_quantiles(df: DataFrame, c: str, probs, by=(), bounded: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/quantile_cont).
 
     Distributed: value counts -> prefix sums give each distinct value its
     rank range; each wanted rank is located by a join on (group, bucket)
-    and a range predicate. Output: (*by, p, value).
+    and a range predicate. Output: (*by, p, value). ``bounded=True`` is for
+    inputs with a proven small number of distinct values (e.g. one row per
+    airport code): one range, no cut-point pass.
     """
     by = list(by)
     probs = [float(p) for p in probs]
     vc = (df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_cnt")))
-    cum = prefix_sums(vc, c, ["_cnt"], partition_cols=by)
+    cum = prefix_sums(vc, c, ["_cnt"], partition_cols=by, buckets=1 if bounded else C.PREFIX_BUCKETS)
     cum = cum.withColumn("_start", F.col("cum__cnt") - F.col("_cnt"))
     # per-(group, bucket) rank ranges -> which bucket holds each wanted rank
     ranges = cum.groupBy(*by, "_bucket").agg(F.min("_start").alias("_lo"), F.max("cum__cnt").alias("_hi"))
@@ -184,7 +189,8 @@ def hub_airports(df: DataFrame, quantile=C.HUB_QUANTILE) -> DataFrame:
 
 def hub_threshold(traffic: DataFrame, quantile=C.HUB_QUANTILE) -> float:
     """The traffic quantile as a scalar (a one-row aggregate)."""
-    row = exact_quantiles(traffic, "total_movements", [quantile]).first()
+    # one row per airport code: the distinct traffic values are bounded
+    row = exact_quantiles(traffic, "total_movements", [quantile], bounded=True).first()
     return float("inf") if row is None or row["value"] is None else float(row["value"])
 
 
