@@ -948,3 +948,123 @@ def r3_resolve_names(spark, d):
     out = S.resolve_names(names, ents)
     return out.select("name_id", "code", "match", F.round("best_distance", 6).alias("best_distance"),
                       F.array_join("candidates", ",").alias("candidates"))
+
+
+# ============================================================================
+# Reports, persistence round trips and the metrics table
+
+@query("f25_prediction_report", with_(["te", "airports", "airlines"] + FEATURE_CTES,
+       "SELECT flight_id, concat_ws(chr(10), "
+       "'Origin airport: ' || CASE WHEN ao.AIRPORT IS NOT NULL THEN ao.AIRPORT || ' (' || f.ORIGIN_AIRPORT || ')' "
+       "ELSE f.ORIGIN_AIRPORT END, "
+       "'Destination airport: ' || CASE WHEN ad.AIRPORT IS NOT NULL THEN ad.AIRPORT || ' (' || f.DESTINATION_AIRPORT || ')' "
+       "ELSE f.DESTINATION_AIRPORT END, "
+       "'Airline: ' || coalesce(al.AIRLINE, f.AIRLINE), "
+       "'Departure time: ' || CAST(f.DEP_HOUR AS VARCHAR) || ':00', "
+       "'Delay probability: ' || CAST(round_even(f.ROUTE_DELAY_RATE_15 * 100, 1) AS VARCHAR) || '%', "
+       "'Model prediction: ' || CASE WHEN f.ROUTE_DELAY_RATE_15 >= 0.25 THEN 'delayed' ELSE 'on time' END, "
+       "CASE WHEN CAST(round_even(CASE WHEN f.ROUTE_DELAY_RATE_15 >= 0.25 THEN f.ROUTE_DELAY_MEAN ELSE 0.0 END, 0) "
+       "AS BIGINT) > 0 THEN 'Estimated delay (if delayed): ' || CAST(CAST(round_even(f.ROUTE_DELAY_MEAN, 0) AS BIGINT) "
+       "AS VARCHAR) || ' minutes' ELSE '' END) AS report "
+       "FROM ft f LEFT JOIN airports ao ON f.ORIGIN_AIRPORT = ao.IATA_CODE "
+       "LEFT JOIN airports ad ON f.DESTINATION_AIRPORT = ad.IATA_CODE LEFT JOIN airlines al ON f.AIRLINE = al.IATA_CODE",
+       extra=[featured("te", "ft")]))
+def f25_prediction_report(spark, d):
+    """F25 + J1: the prediction report for every hold-out flight — names
+    in place of codes (dimension lookups), probability in percent with one
+    half-even decimal, decision, and the minutes line only when > 0. The
+    probability is the train-fitted route late rate, the minutes the route
+    mean (a deterministic stand-in for the model so SQL can check it)."""
+    fm, tr, te = fitted(spark, d)
+    t = fm.transform(te)
+    ap, al = FX.airports(spark, d), FX.airlines(spark, d)
+    t = J.lookup_codes(t, "ORIGIN_AIRPORT", ap.select("IATA_CODE", "AIRPORT"), prefix="o_")
+    t = J.lookup_codes(t, "DESTINATION_AIRPORT", ap.select("IATA_CODE", "AIRPORT"), prefix="d_")
+    t = J.lookup_codes(t, "AIRLINE", al, prefix="a_")
+    flagged = X.decide("ROUTE_DELAY_RATE_15", 0.25)
+    t = t.withColumns({"_p": F.col("ROUTE_DELAY_RATE_15"), "_flag": flagged,
+                       "_min": X.second_stage(flagged, "ROUTE_DELAY_MEAN")})
+    rep = X.prediction_report("o_AIRPORT", "ORIGIN_AIRPORT", "d_AIRPORT", "DESTINATION_AIRPORT", "a_AIRLINE",
+                              "AIRLINE", "DEP_HOUR", "_p", "_flag", "_min")
+    return t.select("flight_id", rep.alias("report"))
+
+
+@query("a11_target_correlations", with_(["eda"],
+       " UNION ALL ".join(
+           f"SELECT '{c}' AS feature, round(corr(ARRIVAL_DELAY, CAST(\"{c}\" AS DOUBLE)), 6) AS r FROM ce"
+           for c in ["MONTH", "DAY_OF_WEEK", "DEP_HOUR", "DISTANCE", "IS_WEEKEND", "IS_SUMMER"]),
+       extra=["ce AS (SELECT *, CAST(coalesce(DAY_OF_WEEK IN (6, 7), false) AS INTEGER) AS IS_WEEKEND, "
+              "CAST(coalesce(\"MONTH\" IN (6, 7, 8), false) AS INTEGER) AS IS_SUMMER FROM eda)"]))
+def a11_target_correlations(spark, d):
+    """Correlation of each pre-departure column with the target."""
+    e = FE.add_calendar_flags(eda(spark, d))
+    return r6(PR.target_correlations(e, ["MONTH", "DAY_OF_WEEK", "DEP_HOUR", "DISTANCE", "IS_WEEKEND", "IS_SUMMER"]))
+
+
+def _saved_and_loaded(spark, d):
+    from ..session import shared_path
+    fm, tr, te = fitted(spark, d)
+    path = shared_path(spark, "feature-model")
+    fm.save(path)
+    return E.FeatureModel.load(spark, path), te
+
+
+@query("s3_stats_roundtrip", with_(["tr"],
+       "SELECT CASE WHEN grouping(ROUTE) = 0 THEN 'ROUTE' WHEN grouping(AIRLINE) = 0 THEN 'AIRLINE' "
+       "WHEN grouping(DEP_HOUR) = 0 THEN 'DEP_HOUR' ELSE 'GLOBAL' END AS level, ROUTE, AIRLINE, DEP_HOUR, "
+       f"count(*) AS n, round(avg(ARRIVAL_DELAY), 6) AS delay_mean, round(avg({LATE}), 6) AS delay_rate "
+       "FROM tr GROUP BY GROUPING SETS ((ROUTE), (AIRLINE), (DEP_HOUR), ())"))
+def s3_stats_roundtrip(spark, d):
+    """S3 + S4: fitted statistics written as typed Parquet and read back."""
+    fm, _ = _saved_and_loaded(spark, d)
+    s = fm.stats.filter(F.col("level").isin("ROUTE", "AIRLINE", "DEP_HOUR", "GLOBAL"))
+    return r6(s.select("level", "ROUTE", "AIRLINE", "DEP_HOUR", "n", "delay_mean", "delay_rate"))
+
+
+@query("e4_stored_target_encoding", with_(["te"] + FEATURE_CTES,
+       "SELECT flight_id, round(ROUTE_TE, 6) AS ROUTE_TE, round(ORIGIN_AIRPORT_TE, 6) AS ORIGIN_AIRPORT_TE, "
+       "round(DESTINATION_AIRPORT_TE, 6) AS DESTINATION_AIRPORT_TE, round(AIRLINE_TE, 6) AS AIRLINE_TE, "
+       "round(HOUR_DELAY_MEAN, 6) AS HOUR_DELAY_MEAN FROM ft", extra=[featured("te", "ft")]))
+def e4_stored_target_encoding(spark, d):
+    """E4 (+D1): encodings applied from the SAVED statistics; the int hour
+    key still matches after the reload."""
+    fm, te = _saved_and_loaded(spark, d)
+    t = fm.transform(te)
+    return r6(t.select("flight_id", "ROUTE_TE", "ORIGIN_AIRPORT_TE", "DESTINATION_AIRPORT_TE", "AIRLINE_TE",
+                       "HOUR_DELAY_MEAN"))
+
+
+S6_CTES = [
+    "cm AS (SELECT count(*) FILTER (WHERE label = 0 AND score < 0.25)::DOUBLE AS tn, "
+    "count(*) FILTER (WHERE label = 0 AND score >= 0.25)::DOUBLE AS fp, "
+    "count(*) FILTER (WHERE label = 1 AND score < 0.25)::DOUBLE AS fn, "
+    "count(*) FILTER (WHERE label = 1 AND score >= 0.25)::DOUBLE AS tp FROM scored)",
+    "pr1 AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, "
+    "CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM cm)",
+    "auc AS (SELECT sum(pos * (neg_below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) AS v FROM ("
+    "SELECT score, pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    "AS neg_below FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg "
+    "FROM scored WHERE score IS NOT NULL GROUP BY score)))",
+    "rg AS (SELECT avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse, "
+    "1 - sum((pred - y) * (pred - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM scored WHERE y > 15)",
+]
+
+
+@query("s6_metrics_table", scored_with(
+       "SELECT 'classification' AS task, 'accuracy' AS metric, round((tp + tn) / (tp + tn + fp + fn), 6) AS value FROM pr1 "
+       "UNION ALL SELECT 'classification', 'precision', round(p, 6) FROM pr1 "
+       "UNION ALL SELECT 'classification', 'recall', round(r, 6) FROM pr1 "
+       "UNION ALL SELECT 'classification', 'f1_score', round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) FROM pr1 "
+       "UNION ALL SELECT 'classification', 'roc_auc', round(v, 6) FROM auc "
+       "UNION ALL SELECT 'regression', 'mae', round(mae, 6) FROM rg "
+       "UNION ALL SELECT 'regression', 'rmse', round(rmse, 6) FROM rg "
+       "UNION ALL SELECT 'regression', 'r2', round(r2, 6) FROM rg", extra=S6_CTES))
+def s6_metrics_table(spark, d):
+    """Metrics as a long (task, metric, value) table and its API subset
+    (core metrics, absent -> 0.0), for the route-rate pseudo-score."""
+    s = scored_test(spark, d)
+    cls = M.classifier_metrics(s, threshold=0.25)
+    auc = M.roc_auc(s)
+    cls = PR.attach_row(cls, auc)
+    reg = M.regression_metrics(s.filter(F.col("y") > C.DELAY_THRESHOLD))
+    return r6(M.core_metrics(M.metrics_table({"classification": cls, "regression": reg})))
