@@ -79,9 +79,12 @@ def min_support(df: DataFrame, count_col="count", n=C.MIN_ROUTE_SUPPORT) -> Data
     return df.filter(F.col(count_col) >= n)
 
 
-def in_key_set(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """Membership in a computed key set as a left-semi join."""
-    return df.join(keys, on=on, how="left_semi")
+def in_key_set(df: DataFrame, keys: DataFrame, on, key_rows: int | None = None) -> DataFrame:
+    """Membership in a computed key set as a left-semi join. The
+    key set is broadcast when its (checked) size allows, so the fact rows
+    are not shuffled by the key."""
+    from .lookups import sized
+    return df.join(sized(keys, key_rows), on=on, how="left_semi")
 
 
 def validate_requests(df: DataFrame) -> DataFrame:

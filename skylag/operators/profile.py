@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
+from ..session import materialize
+from .lookups import sized
 from .stats import exact_quantiles, late_rate, Y
 
 
@@ -76,7 +78,13 @@ def box_summary(df: DataFrame, c=Y, by=()) -> DataFrame:
     qw = qw.withColumns({"_lf": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                          "_uf": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     base = df.filter(F.col(c).isNotNull())
-    j = base.join(qw, by) if by else attach_row(base, qw)
+    if by:
+        # one row per group: written once, then broadcast if its size allows,
+        # so the fact rows are never shuffled by a (possibly hot) group key
+        qw = materialize(qw, "box-quartiles")
+        j = base.join(sized(qw), by)
+    else:
+        j = attach_row(base, qw)
     x = F.col(c)
     inside = (x >= F.col("_lf")) & (x <= F.col("_uf"))
     return j.groupBy(*by, "q1", "median", "q3").agg(
