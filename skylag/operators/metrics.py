@@ -111,18 +111,19 @@ def regression_metrics(df: DataFrame, truth="y", pred="pred", baseline=None) ->
     population std of the error, baseline MAE and improvement."""
     y, p = F.col(truth).cast("double"), F.col(pred).cast("double")
     e = p - y
+    # SST = n * var_pop(y): Spark's variance merges partial moments stably,
+    # unlike sum(y^2) - sum(y)^2 / n, which cancels badly on huge inputs
     aggs = [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-            F.sum(e * e).alias("_sse"), F.sum(y).alias("_sy"), F.sum(y * y).alias("_syy"),
-            F.count(F.lit(1)).alias("_n"), F.avg(e).alias("mean_error"), F.stddev_pop(e).alias("std_error")]
+            F.avg(e * e).alias("_mse"), F.var_pop(y).alias("_vy"),
+            F.avg(e).alias("mean_error"), F.stddev_pop(e).alias("std_error")]
     if baseline is not None:
         b = baseline if not isinstance(baseline, (int, float)) else F.lit(float(baseline))
         aggs.append(F.avg(F.abs(y - b)).alias("baseline_mae"))
     m = df.agg(*aggs)
-    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("_n")
-    out = m.withColumn("r2", 1 - F.try_divide(F.col("_sse"), sst))
+    out = m.withColumn("r2", 1 - F.try_divide(F.col("_mse"), F.col("_vy")))
     if baseline is not None:
         out = out.withColumn("mae_improvement", F.col("baseline_mae") - F.col("mae"))
-    return out.drop("_sse", "_sy", "_syy", "_n")
+    return out.drop("_mse", "_vy")
 
 
 def class_balance(df: DataFrame, label="label") -> DataFrame:

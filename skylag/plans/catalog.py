@@ -480,10 +480,15 @@ def a6_distinct_routes(spark, d):
     return A.distinct_count(eda(spark, d), "ROUTE")
 
 
+TRIPS_COLUMNS = ["flight_id", "YEAR", "MONTH", "DAY", "DAY_OF_WEEK", "AIRLINE", "TAIL_NUMBER", "ORIGIN_AIRPORT",
+                 "DESTINATION_AIRPORT", "SCHEDULED_DEPARTURE", "SCHEDULED_ARRIVAL", "DISTANCE", "ARRIVAL_DELAY",
+                 "CANCELLED", "DIVERTED"]
+
+
 @query("a7_missing_profile", with_(["trips"],
        "SELECT column_name AS \"column\", missing_count, round(missing_count * 100.0 / n, 2) AS missing_pct FROM ("
-       "SELECT 'TAIL_NUMBER' AS column_name, count(*) - count(TAIL_NUMBER) AS missing_count, count(*) AS n FROM trips "
-       "UNION ALL SELECT 'ARRIVAL_DELAY', count(*) - count(ARRIVAL_DELAY), count(*) FROM trips) WHERE missing_count > 0"))
+       + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count(\"{c}\") AS missing_count, count(*) AS n "
+                            "FROM trips" for c in TRIPS_COLUMNS) + ") WHERE missing_count > 0"))
 def a7_missing_profile(spark, d):
     """Null count and percent per column (only columns with nulls)."""
     return PR.missing_profile(trips(spark, d))
@@ -694,7 +699,7 @@ def a26_best_threshold(spark, d):
        "SELECT round(avg(abs(pred - y)), 6) AS mae, round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse, "
        "round(avg(pred - y), 6) AS mean_error, round(stddev_pop(pred - y), 6) AS std_error, "
        "round(avg(abs(y - b)), 6) AS baseline_mae, "
-       "round(1 - sum((pred - y) * (pred - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2, "
+       "round(1 - avg((pred - y) * (pred - y)) / var_pop(y), 6) AS r2, "
        "round(avg(abs(y - b)) - avg(abs(pred - y)), 6) AS mae_improvement "
        "FROM scored, (SELECT avg(ARRIVAL_DELAY) AS b FROM tr WHERE ARRIVAL_DELAY > 15) WHERE y > 15"))
 def a27_a28_regression_metrics(spark, d):
@@ -1046,7 +1051,7 @@ S6_CTES = [
     "AS neg_below FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg "
     "FROM scored WHERE score IS NOT NULL GROUP BY score)))",
     "rg AS (SELECT avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse, "
-    "1 - sum((pred - y) * (pred - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM scored WHERE y > 15)",
+    "1 - avg((pred - y) * (pred - y)) / var_pop(y) AS r2 FROM scored WHERE y > 15)",
 ]
 
 
