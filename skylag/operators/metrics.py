@@ -86,14 +86,11 @@ def pr_curve(df: DataFrame, label="label", score="score") -> DataFrame:
     """Precision and recall at every distinct score used as threshold
     (predict positive when score >= threshold)."""
     sc = score_counts(df, label, score)
-    cum = prefix_sums(sc, "score", ["pos", "neg"], descending=True)
-    total_pos = sc.agg(F.sum("pos").alias("_P"))
-    # one-row total attached by a broadcast equi-join on a constant key
-    cum = cum.withColumn("_one", F.lit(1)).join(F.broadcast(total_pos.withColumn("_one", F.lit(1))), "_one")
+    cum = prefix_sums(sc, "score", ["pos", "neg"], descending=True)   # tot_pos = all positives
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     return cum.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"),
                       F.col("cum_neg").alias("fp"),
-                      _div(tp, tp + fp).alias("precision"), _div(tp, F.col("_P").cast("double")).alias("recall"))
+                      _div(tp, tp + fp).alias("precision"), _div(tp, F.col("tot_pos").cast("double")).alias("recall"))
 
 
 def best_f1_threshold(df: DataFrame, label="label", score="score") -> DataFrame:
@@ -132,15 +129,17 @@ def class_balance(df: DataFrame, label="label") -> DataFrame:
              .withColumn("imbalance_ratio", F.try_divide(F.col("n0").cast("double"), F.col("n1").cast("double")))
 
 
-def metrics_table(parts: dict[str, DataFrame]) -> DataFrame:
-    """One-row metric frames -> long (task, metric, value double)."""
+def metrics_table(parts: dict) -> DataFrame:
+    """One-row metric frames -> long (task, metric, value double).
+    ``parts`` maps a task name to one frame or a list of frames."""
     out = None
-    for task, frame in parts.items():
-        cols = [c for c, t in frame.dtypes if t in ("double", "float", "int", "bigint", "smallint")]
-        st = F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                                for c in cols]))
-        long = frame.select(F.lit(task).alias("task"), st)
-        out = long if out is None else out.unionByName(long)
+    for task, frames in parts.items():
+        for frame in (frames if isinstance(frames, (list, tuple)) else [frames]):
+            cols = [c for c, t in frame.dtypes if t in ("double", "float", "int", "bigint", "smallint")]
+            st = F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                                    for c in cols]))
+            long = frame.select(F.lit(task).alias("task"), st)
+            out = long if out is None else out.unionByName(long)
     return out
 
 

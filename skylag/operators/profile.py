@@ -16,10 +16,11 @@ from .stats import exact_quantiles, late_rate, Y
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast
-    equi-join on a constant key; the small side is one row by construction)."""
-    return (df.withColumn("_one", F.lit(1))
-              .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row aggregate to every row as typed
+    literals (the aggregate runs once as its own small job; no join)."""
+    r = one_row.first()
+    return df.withColumns({f.name: F.lit(r[f.name] if r is not None else None).cast(f.dataType)
+                           for f in one_row.schema.fields})
 
 
 def missing_profile(df: DataFrame) -> DataFrame:

@@ -86,7 +86,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
     approximate-percentile pass: a bounded list). Bucket totals give each
     bucket's offset; the running sum inside a bucket is a window partitioned
     by (partition_cols, bucket), so no task sees more than its range.
-    Adds ``cum_<c>`` (and ``_bucket``) columns.
+    Adds ``cum_<c>``, the grand total ``tot_<c>`` (per partition group) and
+    ``_bucket`` columns.
     """
     sum_cols = list(sum_cols)
     parts = list(partition_cols)
@@ -109,8 +110,10 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
     t = df.withColumn("_bucket", b.cast("int"))
     totals = t.groupBy(*parts, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wo = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*parts)
     offs = totals.select(*parts, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+        F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in sum_cols], *[
+        F.sum(f"_t_{c}").over(wall).alias(f"tot_{c}") for c in sum_cols])
     # without partition columns the offsets table has at most `buckets` rows
     offs = F.broadcast(offs) if not parts else offs
     t = t.join(offs, [*parts, "_bucket"])
@@ -118,7 +121,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
     w = (Window.partitionBy(*parts, "_bucket").orderBy(order)
          .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     return t.select(*df.columns, "_bucket", *[
-        (F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sum_cols])
+        (F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sum_cols],
+        *[f"tot_{c}" for c in sum_cols])
 
 
 def exact_quantiles(df: DataFrame, c: str, probs, by=(), bounded: bool = False) -> DataFrame:

@@ -1070,6 +1070,5 @@ def s6_metrics_table(spark, d):
     s = scored_test(spark, d)
     cls = M.classifier_metrics(s, threshold=0.25)
     auc = M.roc_auc(s)
-    cls = PR.attach_row(cls, auc)
     reg = M.regression_metrics(s.filter(F.col("y") > C.DELAY_THRESHOLD))
-    return r6(M.core_metrics(M.metrics_table({"classification": cls, "regression": reg})))
+    return r6(M.core_metrics(M.metrics_table({"classification": [cls, auc], "regression": reg})))
