@@ -64,13 +64,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/skylag/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, spread_reads: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts lineage so later stages (and retries after a lost executor) start
-    from durable files instead of recomputing the plan.
+    from durable files instead of recomputing the plan. ``spread_reads``
+    is for tables read many times (training matrices): see
+    ``sources.tables.spread``.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    if spread_reads:
+        from .sources.tables import path_size, spread
+        out = spread(out, path_size(spark, path))
+    return out

@@ -67,6 +67,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def path_size(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, size_bytes: int, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Input-parallelism guard for data that is read many times (model
+    training): a non-trivial input that yields fewer scan splits than the
+    cluster has cores (e.g. one large Parquet row group) is spread
+    round-robin over ``defaultParallelism`` partitions. On real inputs
+    (many files/row groups) this is a no-op, so it never adds a shuffle at
+    scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if size_bytes >= min_bytes and df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """One driver table with its explicit schema."""
     path = f"{data_dir.rstrip('/')}/{name}.parquet"
