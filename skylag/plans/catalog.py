@@ -376,7 +376,8 @@ def f18_f22_decisions(spark, d):
 
 @query("f24_json_fields", with_(["slot_log"],
        "SELECT seq, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, "
-       "to_json({'slot': slot, 'k': CAST(json_extract_string(props, '$.k') AS INTEGER)}) AS record FROM slot_log"))
+       "CAST(to_json({'slot': slot, 'k': CAST(json_extract_string(props, '$.k') AS INTEGER)}) AS VARCHAR) AS record "
+       "FROM slot_log"))
 def f24_json_fields(spark, d):
     """decode a JSON payload (malformed -> null) and encode a record."""
     lg = FX.slot_log(spark, d)
@@ -495,7 +496,7 @@ def a7_missing_profile(spark, d):
 
 
 @query("a8_a9_delay_quantiles", with_(["tr"],
-       "SELECT p, round(value, 6) AS value FROM (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99]) AS p, "
+       "SELECT p, round(value, 6) AS value FROM (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS p, "
        "unnest(quantile_cont(ARRIVAL_DELAY, [0.5, 0.75, 0.9, 0.95, 0.99])) AS value FROM tr WHERE ARRIVAL_DELAY > 15)"))
 def a8_a9_delay_quantiles(spark, d):
     """A8 + A9: exact (interpolated) quantiles of late train delays,
@@ -534,7 +535,8 @@ def a11_correlations(spark, d):
 
 
 @query("a12_histogram", with_(["eda"],
-       "SELECT bin, -60.0 + bin * 2.4 AS \"left\", -60.0 + (bin + 1) * 2.4 AS \"right\", count(*) AS n FROM ("
+       "SELECT bin, round(-60.0::DOUBLE + bin * 2.4::DOUBLE, 6) AS \"left\", "
+       "round(-60.0::DOUBLE + (bin + 1) * 2.4::DOUBLE, 6) AS \"right\", count(*) AS n FROM ("
        "SELECT CAST(least(floor((greatest(-60.0, least(ARRIVAL_DELAY, 180.0)) + 60.0) / 2.4), 99) AS INTEGER) AS bin "
        "FROM eda) GROUP BY bin"))
 def a12_histogram(spark, d):
@@ -918,8 +920,8 @@ def r1_entity_documents(spark, d):
 
 
 @query("r2_j7_t6_vector_search",
-       "SELECT query_id, match_id, round(distance, 6) AS distance, rank FROM (SELECT q.vec_id AS query_id, "
-       "c.vec_id AS match_id, list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS distance, "
+       "SELECT query_id, match_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT "
+       "q.vec_id AS query_id, c.vec_id AS match_id, list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS distance, "
        "row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), "
        "c.vec_id) AS rank FROM embeddings q, embeddings c) WHERE rank <= 5")
 def r2_j7_t6_vector_search(spark, d):
@@ -930,8 +932,8 @@ def r2_j7_t6_vector_search(spark, d):
 
 
 @query("r2_cosine_search",
-       "SELECT query_id, match_id, round(distance, 6) AS distance, rank FROM (SELECT q.vec_id AS query_id, "
-       "c.vec_id AS match_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS distance, "
+       "SELECT query_id, match_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT "
+       "q.vec_id AS query_id, c.vec_id AS match_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS distance, "
        "row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_cosine_similarity(q.embedding::DOUBLE[], "
        "c.embedding::DOUBLE[]), c.vec_id) AS rank FROM embeddings q, embeddings c) WHERE rank <= 5")
 def r2_cosine_search(spark, d):
