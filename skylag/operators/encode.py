@@ -35,8 +35,8 @@ class FeatureModel:
     """Fitted state of the feature chain."""
     stats: DataFrame                 # long table from historical_bundle
     airports: DataFrame              # airport -> IS_HUB, ORIGIN_TE, DEST_TE
-    global_mean: float
-    global_rate: float
+    global_mean: float | None
+    global_rate: float | None
     hub_threshold: float
     vocab: dict = field(default_factory=dict)   # one-hot vocabularies (train, sorted)
     rows: dict = field(default_factory=dict)    # row counts of the lookup tables
@@ -120,8 +120,9 @@ def fit_features(train: DataFrame, quantile=C.HUB_QUANTILE, cat_low=C.CAT_LOW_CL
     stats = materialize(historical_bundle(train, keys=keys), "feature-stats")
     counts = {r["level"]: r["cnt"] for r in stats.groupBy("level").agg(F.count(F.lit(1)).alias("cnt")).collect()}
     g = stats.filter(F.col("level") == "GLOBAL").select("delay_mean", "delay_rate").first()
-    gm = float(g["delay_mean"]) if g and g["delay_mean"] is not None else 0.0
-    gr = float(g["delay_rate"]) if g and g["delay_rate"] is not None else 0.0
+    # empty training input: the global values are missing (pandas gives NaN), not 0
+    gm = float(g["delay_mean"]) if g and g["delay_mean"] is not None else None
+    gr = float(g["delay_rate"]) if g and g["delay_rate"] is not None else None
     o = stats.filter(F.col("level") == "ORIGIN_AIRPORT").select(
         F.col("ORIGIN_AIRPORT").alias("airport"), F.col("delay_mean").alias("origin_te"),
         F.col("n").alias("departures"))

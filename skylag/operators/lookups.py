@@ -87,5 +87,8 @@ def lookup_with_fallback(df: DataFrame, table: DataFrame, key: str, cols: dict,
     a global value. ``cols`` maps table column -> (output name, fallback)."""
     t = table.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_v_{c}") for c in cols])
     j = df.join(sized(t, rows), F.col(df_key or key) == F.col("_k"), "left")
-    return j.withColumns({out: F.coalesce(F.col(f"_v_{c}"), F.lit(fb)) for c, (out, fb) in cols.items()}
+    def fill(c, fb):
+        v = F.col(f"_v_{c}")
+        return v if fb is None else F.coalesce(v, F.lit(fb).cast(table.schema[c].dataType))
+    return j.withColumns({out: fill(c, fb) for c, (out, fb) in cols.items()}
                          ).drop("_k", *[f"_v_{c}" for c in cols])

@@ -99,3 +99,22 @@ def test_validation_reasons(spark):
     assert good.count() == 0
     errs = sorted(len(r["errors"]) for r in bad.collect())
     assert errs == [1, 3]
+
+
+def test_empty_train_gives_missing_globals(spark):
+    """FIXTURES §5.3: an empty training split fits nothing; lookups give
+    null (pandas: NaN), not a made-up 0."""
+    tr, te = P.split_by_month(_prepared(spark))
+    fm = E.fit_features(tr.filter("false"))
+    assert fm.global_mean is None and fm.global_rate is None
+    r = fm.transform(te).select("ROUTE_DELAY_MEAN", "HOUR_DELAY_RATE_15", "IS_ORIGIN_HUB").first()
+    assert r["ROUTE_DELAY_MEAN"] is None and r["HOUR_DELAY_RATE_15"] is None and r["IS_ORIGIN_HUB"] == 0
+
+
+def test_all_null_keys_and_top_k_ties(spark):
+    from skylag.operators import profile as PR
+    from skylag.operators import stats as A
+    df = spark.createDataFrame([(None, 10.0), (None, 20.0)], "ROUTE string, ARRIVAL_DELAY double")
+    assert A.group_stats(df, "ROUTE").count() == 0
+    ties = spark.createDataFrame([("B-C",), ("A-B",), ("C-D",), ("A-B",), ("B-C",)], "ROUTE string")
+    assert [r["ROUTE"] for r in PR.top_routes(ties, n=2).collect()] == ["A-B", "B-C"]
