@@ -153,7 +153,10 @@ def resolve_names(names: DataFrame, entities: DataFrame, name_col="name", id_col
     qv = name_vectors(names.select(F.col(id_col).cast("long").alias("query_id"), F.col(name_col).alias("name")),
                       "name", ents, out="query_vec", idf_text="entity_name")
     nn = knn(qv, ev, k=k, metric="cosine", cid="entity_id", cvec="embedding")
-    nn = nn.join(ents.select(F.col("entity_id").alias("match_id"), "code", "entity_name"), "match_id")
+    # many queries may pick the same entity: attach entity fields by a
+    # size-checked broadcast, not a shuffle keyed by the (possibly hot) entity
+    n_ents = ents.count()
+    nn = nn.join(sized(ents.select(F.col("entity_id").alias("match_id"), "code", "entity_name"), n_ents), "match_id")
     nn = nn.join(qv.select("query_id", "name"), "query_id")
     nn = nn.withColumn("lev", F.levenshtein(F.lower("name"), F.lower("entity_name")))
     w = Window.partitionBy("query_id").orderBy("distance", "lev", "code")
@@ -163,7 +166,7 @@ def resolve_names(names: DataFrame, entities: DataFrame, name_col="name", id_col
         F.sort_array(F.collect_list(F.struct("_r", "code"))).alias("_cands"))
     top = top.withColumn("candidates", F.transform("_cands", lambda s: s["code"])).drop("_cands")
     exact = ents.select(F.upper("code").alias("_ucode"), F.col("code").alias("exact_code"))
-    top = top.join(sized(exact), F.upper(F.col("name")) == F.col("_ucode"), "left")
+    top = top.join(sized(exact, n_ents), F.upper(F.col("name")) == F.col("_ucode"), "left")
     return top.select(F.col("query_id").alias(id_col), "name",
                       F.coalesce("exact_code", "best_code").alias("code"),
                       F.when(F.col("exact_code").isNotNull(), F.lit("exact")).otherwise(F.lit("similarity")).alias("match"),
