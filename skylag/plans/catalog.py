@@ -349,14 +349,15 @@ def f15_timestamp_parts(spark, d):
     return FX.slot_log(spark, d).select("seq", *X.timestamp_parts("ts"))
 
 
-@query("f16_f17_round_fill", with_(["airports"],
-       "SELECT IATA_CODE, round_even(coalesce(LATITUDE, 0.0) * 1.25, 1) AS lat_r1, "
-       "coalesce(LONGITUDE, -999.0) AS lon_filled FROM airports"))
+@query("f16_f17_round_fill", with_(["trips"],
+       "SELECT flight_id, round_even(DISTANCE / 7, 1) AS distance_r1, "
+       "coalesce(ARRIVAL_DELAY, -999.0) AS delay_filled FROM trips"))
 def f16_f17_round_fill(spark, d):
-    """F16 (half-even rounding) + F17 (fill missing with a fallback)."""
-    a = FX.airports(spark, d)
-    return a.select("IATA_CODE", X.round_half_even(X.fill("LATITUDE", 0.0) * 1.25, 1).alias("lat_r1"),
-                    X.fill("LONGITUDE", -999.0).alias("lon_filled"))
+    """F16 (half-even display rounding) + F17 (fill missing with a
+    fallback) over every trip."""
+    t = trips(spark, d)
+    return t.select("flight_id", X.round_half_even(F.col("DISTANCE") / 7, 1).alias("distance_r1"),
+                    X.fill("ARRIVAL_DELAY", -999.0).alias("delay_filled"))
 
 
 @query("f18_f22_decisions", scored_with(
