@@ -879,12 +879,19 @@ MISSING_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN {s} IS NULL THEN '{s}'
 
 
 @query("p12_p14_slot_completeness", with_(["slot_log"],
-       f"SELECT session_id, {MISSING_SQL} AS missing, ({' AND '.join(f'{s} IS NOT NULL' for s in SLOTS)}) AS complete "
+       f"SELECT session_id, {MISSING_SQL} AS missing, ({' AND '.join(f'{s} IS NOT NULL' for s in SLOTS)}) AS complete, "
+       f"CASE WHEN NOT ({' AND '.join(f'{s} IS NOT NULL' for s in SLOTS)}) THEN 'missing: ' || {MISSING_SQL} END AS reason "
        "FROM st", extra=[_slot_sql()]))
 def p12_p14_slot_completeness(spark, d):
-    """P12 + P14: missing-slot list and completeness gate per session."""
-    st = P.slot_completeness(K.slot_state(FX.slot_log(spark, d), SLOTS), SLOTS)
-    return st.select("session_id", F.array_join("missing", ", ").alias("missing"), "complete")
+    """P12 + P14: missing-slot list per session and the prediction gate —
+    complete sessions pass, the others are rejected with a reason."""
+    st = K.slot_state(FX.slot_log(spark, d), SLOTS)
+    passed, rejected = P.prediction_gate(st, SLOTS)
+    ok = P.slot_completeness(passed, SLOTS).select(
+        "session_id", F.array_join("missing", ", ").alias("missing"), "complete",
+        F.lit(None).cast("string").alias("reason"))
+    bad = rejected.select("session_id", F.array_join("missing", ", ").alias("missing"), "complete", "reason")
+    return ok.unionByName(bad)
 
 
 @query("w5_k2_session_status", with_(["slot_log"],
