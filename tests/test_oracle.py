@@ -50,5 +50,5 @@ def test_contract(spark):
     qs = ent.queries()
     assert set(SQL) <= set(qs)
     df = ent.entry(spark)
-    assert df.count() >= 0
-    assert [f.name for f in df.schema.fields] == ["ROUTE", "mean_delay", "count", "side"]
+    assert df.count() > 0
+    assert df.columns[0] == "flight_id" and "ROUTE_DELAY_RATE_15" in df.columns
