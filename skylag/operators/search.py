@@ -45,16 +45,18 @@ def entity_documents(airports: DataFrame, airlines: DataFrame) -> DataFrame:
     return ap.unionByName(al)
 
 
-def _distances(q: np.ndarray, x: np.ndarray, metric: str, qn=None, xn=None) -> np.ndarray:
-    """(len(q), len(x)) distances in float64, computed block by block."""
-    if metric == "cosine":
-        sim = (q @ x.T) / np.maximum(np.outer(qn, xn), 1e-300)
-        return 1.0 - sim
-    d = q[:, None, :] - x[None, :, :]
-    return np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+def _local_topk(qids, qmat, k, metric, cid, cvec):
+    """Per-partition task: local top-k of every query against the rows of
+    one corpus partition. Self-contained (NumPy/pandas only), so it is
+    shipped to the Python workers by value."""
+    block = _BLOCK
 
+    def distances(q, x, qn, xn):
+        if metric == "cosine":
+            return 1.0 - (q @ x.T) / np.maximum(np.outer(qn, xn), 1e-300)
+        d = q[:, None, :] - x[None, :, :]
+        return np.sqrt(np.einsum("ijk,ijk->ij", d, d))
 
-def _local_topk(qids, qmat, k, metric, cid, cvec):
     def fn(batches):
         qn = np.linalg.norm(qmat, axis=1) if metric == "cosine" else None
         for pdf in batches:
@@ -64,12 +66,12 @@ def _local_topk(qids, qmat, k, metric, cid, cvec):
             xm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[cvec].to_numpy()])
             xn = np.linalg.norm(xm, axis=1) if metric == "cosine" else None
             out_q, out_c, out_d = [], [], []
-            for s in range(0, len(qmat), _BLOCK):
-                qb = qmat[s:s + _BLOCK]
-                qnb = qn[s:s + _BLOCK] if qn is not None else None
+            for s in range(0, len(qmat), block):
+                qb = qmat[s:s + block]
+                qnb = qn[s:s + block] if qn is not None else None
                 dist = np.concatenate([
-                    _distances(qb, xm[t:t + _BLOCK], metric, qnb, xn[t:t + _BLOCK] if xn is not None else None)
-                    for t in range(0, len(xm), _BLOCK)], axis=1)
+                    distances(qb, xm[t:t + block], qnb, xn[t:t + block] if xn is not None else None)
+                    for t in range(0, len(xm), block)], axis=1)
                 kk = min(k, dist.shape[1])
                 for r in range(dist.shape[0]):
                     row = dist[r]
