@@ -1082,3 +1082,34 @@ def s6_metrics_table(spark, d):
     auc = M.roc_auc(s)
     reg = M.regression_metrics(s.filter(F.col("y") > C.DELAY_THRESHOLD))
     return r6(M.core_metrics(M.metrics_table({"classification": [cls, auc], "regression": reg})))
+
+
+EDA_TRAFFIC = ("et AS (SELECT airport, CAST(sum(d) + sum(a) AS BIGINT) AS total_movements FROM ("
+               "SELECT ORIGIN_AIRPORT AS airport, 1 AS d, 0 AS a FROM eda UNION ALL "
+               "SELECT DESTINATION_AIRPORT AS airport, 0 AS d, 1 AS a FROM eda) WHERE airport IS NOT NULL GROUP BY airport)")
+
+
+@query("a20_traffic_quantiles", with_(["eda"],
+       "SELECT p, round(value, 6) AS value FROM (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS p, "
+       "unnest(quantile_cont(total_movements, [0.5, 0.75, 0.9, 0.95, 0.99])) AS value FROM et)",
+       extra=[EDA_TRAFFIC]))
+def a20_traffic_quantiles(spark, d):
+    """A20 + A9: quantiles (median included) of total movements per
+    airport over the exploratory frame."""
+    t = A.airport_traffic(eda(spark, d))
+    # one row per airport code: bounded distinct values
+    return r6(A.exact_quantiles(t, "total_movements", [0.5, 0.75, 0.9, 0.95, 0.99], bounded=True))
+
+
+LEAKAGE_CORR = ["ARRIVAL_DELAY", "DEPARTURE_DELAY", "TAXI_OUT", "TAXI_IN", "AIR_TIME", "ELAPSED_TIME", "DISTANCE"]
+
+
+@query("a11_p13_leakage_correlations", with_(["eda"],
+       "SELECT 'ARRIVAL_DELAY' AS col_a, 'ARRIVAL_DELAY' AS col_b, round(corr(ARRIVAL_DELAY, ARRIVAL_DELAY), 6) AS r "
+       "FROM eda UNION ALL SELECT 'DISTANCE', 'ARRIVAL_DELAY', round(corr(DISTANCE, ARRIVAL_DELAY), 6) FROM eda "
+       "UNION ALL SELECT 'DISTANCE', 'DISTANCE', round(corr(DISTANCE, DISTANCE), 6) FROM eda"))
+def a11_p13_leakage_correlations(spark, d):
+    """A11 + P13: correlation matrix over the post-departure column list,
+    restricted to the columns the frame actually has."""
+    e = eda(spark, d)
+    return r6(PR.correlation_matrix(e, P.existing(e, LEAKAGE_CORR)))
