@@ -101,12 +101,18 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
         cuts = sorted({c for c in (row[0] or []) if c is not None})
     else:
         cuts = []   # caller guarantees a bounded input (one range)
-    if cuts:
-        b = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v))
-        if descending:
-            b = F.lit(len(cuts)) - b
-    else:
-        b = F.lit(0)
+    order = v.desc() if descending else v.asc()
+    if not cuts:
+        # one range (bounded input): no offsets to add, no join needed
+        w = (Window.partitionBy(*parts).orderBy(order)
+             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        wall = Window.partitionBy(*parts)
+        return df.select(*df.columns, F.lit(0).alias("_bucket"), *[
+            F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"cum_{c}") for c in sum_cols], *[
+            F.sum(c).over(wall).alias(f"tot_{c}") for c in sum_cols])
+    b = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v))
+    if descending:
+        b = F.lit(len(cuts)) - b
     t = df.withColumn("_bucket", b.cast("int"))
     totals = t.groupBy(*parts, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wo = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +123,6 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
     # without partition columns the offsets table has at most `buckets` rows
     offs = F.broadcast(offs) if not parts else offs
     t = t.join(offs, [*parts, "_bucket"])
-    order = v.desc() if descending else v.asc()
     w = (Window.partitionBy(*parts, "_bucket").orderBy(order)
          .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     return t.select(*df.columns, "_bucket", *[
@@ -128,45 +133,31 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
 def exact_quantiles(df: DataFrame, c: str, probs, by=(), bounded: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/quantile_cont).
 
-    Distributed: value counts -> prefix sums give each distinct value its
-    rank range; each wanted rank is located by a join on (group, bucket)
-    and a range predicate. Output: (*by, p, value). ``bounded=True`` is for
-    inputs with a proven small number of distinct values (e.g. one row per
-    airport code): one range, no cut-point pass.
+    Distributed and join-free: value counts -> prefix sums give each
+    distinct value its inclusive cumulative count ``cum`` and the group
+    total ``n``. The value at 0-based rank r is the smallest value with
+    ``cum > r``, so every wanted rank is one ``min(when(cum > r, v))`` in a
+    single (partially aggregated) group-by. Output: (*by, p, value).
+    ``bounded=True`` is for inputs with a proven small number of distinct
+    values (e.g. one row per airport code): one range, no cut-point pass.
     """
     by = list(by)
     probs = [float(p) for p in probs]
     vc = (df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_cnt")))
     cum = prefix_sums(vc, c, ["_cnt"], partition_cols=by, buckets=1 if bounded else C.PREFIX_BUCKETS)
-    cum = cum.withColumn("_start", F.col("cum__cnt") - F.col("_cnt"))
-    # per-(group, bucket) rank ranges -> which bucket holds each wanted rank
-    ranges = cum.groupBy(*by, "_bucket").agg(F.min("_start").alias("_lo"), F.max("cum__cnt").alias("_hi"))
-    sizes = ranges.groupBy(*by).agg(F.max("_hi").alias("_n"))
-    pa = F.array(*[F.lit(p) for p in probs])
-    tg = sizes.select(*by, "_n", F.explode(pa).alias("p"))
-    h = (F.col("_n") - 1) * F.col("p")
-    tg = tg.select(*by, "p", h.alias("_h"), F.floor(h).cast("long").alias("_r0"),
-                   F.least(F.floor(h).cast("long") + 1, F.col("_n") - 1).alias("_r1"))
-    tg = tg.select(*by, "p", "_h", "_r0", F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.col("_r0").alias("rank")),
-        F.struct(F.lit(1).alias("which"), F.col("_r1").alias("rank")))).alias("_t"))
-    tg = tg.select(*by, "p", "_h", "_r0", F.col("_t.which").alias("_which"), F.col("_t.rank").alias("_rank"))
-    in_range = (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
-    if by:
-        tb = tg.join(ranges, by, "inner").filter(in_range)
-    else:
-        # without groups the ranges table has at most `buckets` rows
-        tb = tg.join(F.broadcast(ranges), in_range)
-    tb = tb.drop("_lo", "_hi")
-    hit = (tb.join(cum, [*by, "_bucket"])
-             .filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("cum__cnt"))))
-    hit = hit.select(*by, "p", "_h", "_r0", "_which", F.col(c).cast("double").alias("_v"))
-    agg = hit.groupBy(*by, "p").agg(
-        F.first("_h").alias("_h"), F.first("_r0").alias("_r0"),
-        F.max(F.when(F.col("_which") == 0, F.col("_v"))).alias("_v0"),
-        F.max(F.when(F.col("_which") == 1, F.col("_v"))).alias("_v1"))
-    val = F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))
-    return agg.select(*by, "p", val.alias("value"))
+    n, cm, v = F.col("tot__cnt"), F.col("cum__cnt"), F.col(c).cast("double")
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (n - 1) * F.lit(p)
+        r0 = F.floor(h)
+        r1 = F.least(r0 + 1, n - 1)
+        aggs += [F.max(h).alias(f"_h{i}"), F.max(r0).alias(f"_r{i}"),
+                 F.min(F.when(cm > r0, v)).alias(f"_a{i}"), F.min(F.when(cm > r1, v)).alias(f"_b{i}")]
+    g = cum.groupBy(*by).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(p).alias("p"),
+                              (F.col(f"_a{i}") + (F.col(f"_h{i}") - F.col(f"_r{i}")) * (F.col(f"_b{i}") - F.col(f"_a{i}")))
+                              .alias("value")) for i, p in enumerate(probs)])
+    return g.select(*by, F.inline(rows))
 
 
 def airport_traffic(df: DataFrame, origin="ORIGIN_AIRPORT", dest="DESTINATION_AIRPORT") -> DataFrame:
