@@ -73,12 +73,12 @@ def scored_test(spark, d):
     fm, tr, te = fitted(spark, d)
     t = fm.transform(te)
     return t.select(X.late_label("ARRIVAL_DELAY").alias("label"), F.col("ROUTE_DELAY_RATE_15").alias("score"),
-                    F.col("ARRIVAL_DELAY").alias("y"), F.col("ROUTE_DELAY_MEAN").alias("pred"))
+                    F.col("ARRIVAL_DELAY").alias("y"), F.col("ROUTE_DELAY_MEAN").alias("pred"), "DEP_HOUR")
 
 
 SCORED_SQL = featured("te", "ft") + (
     ", scored AS (SELECT CASE WHEN ARRIVAL_DELAY > 15 THEN 1 ELSE 0 END AS label, ROUTE_DELAY_RATE_15 AS score, "
-    "ARRIVAL_DELAY AS y, ROUTE_DELAY_MEAN AS pred FROM ft)")
+    "ARRIVAL_DELAY AS y, ROUTE_DELAY_MEAN AS pred, DEP_HOUR FROM ft)")
 
 
 def scored_with(body: str, extra=()) -> str:
@@ -363,16 +363,16 @@ def f16_f17_round_fill(spark, d):
 @query("f18_f22_decisions", scored_with(
        "SELECT label, round(score, 6) AS score, (score >= 0.2) AS delayed, "
        "round(CASE WHEN score >= 0.2 THEN pred ELSE 0.0 END, 6) AS minutes, "
-       "round(pred - y, 6) AS residual, CAST(trunc(pred * 100) AS INTEGER) AS hhmm_like FROM scored"))
+       "round(pred - y, 6) AS residual, DEP_HOUR * 100 AS departure_hhmm FROM scored"))
 def f18_f22_decisions(spark, d):
     """F18 (label), F20 (p >= t), F21 (second stage only when flagged),
-    F22 (residual), F19 (hour -> HHMM form) over hold-out scores."""
+    F22 (residual), F19 (departure hour -> HHMM) over hold-out scores."""
     s = scored_test(spark, d)
     flagged = X.decide("score", 0.2)
     return r6(s.select("label", "score", flagged.alias("delayed"),
                        X.second_stage(flagged, "pred").alias("minutes"),
                        X.residual("pred", "y").alias("residual"),
-                       X.hour_to_hhmm("pred").alias("hhmm_like")))
+                       X.hour_to_hhmm("DEP_HOUR").alias("departure_hhmm")))
 
 
 @query("f24_json_fields", with_(["slot_log"],
