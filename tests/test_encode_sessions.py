@@ -118,3 +118,12 @@ def test_all_null_keys_and_top_k_ties(spark):
     assert A.group_stats(df, "ROUTE").count() == 0
     ties = spark.createDataFrame([("B-C",), ("A-B",), ("C-D",), ("A-B",), ("B-C",)], "ROUTE string")
     assert [r["ROUTE"] for r in PR.top_routes(ties, n=2).collect()] == ["A-B", "B-C"]
+
+
+def test_profile_job_writes_every_table(spark):
+    from jobs.profile import run
+    out = shared_path(spark, "profile-job")
+    names = run(spark, FX.trips(spark, SF001), out)
+    assert len(names) == 21
+    assert spark.read.parquet(f"{out}/row_funnel").first()["rows_raw"] == FX.trips(spark, SF001).count()
+    assert spark.read.parquet(f"{out}/by_dep_hour").count() == 24
