@@ -1,6 +1,6 @@
 """Exploratory profile job: every EDA table of the analysis, written as Parquet.
 
-    spark-submit jobs/profile.py --data-dir <dir> --output-dir <dir> [--layout csv|tables]
+    spark-submit jobs/eda_tables.py --data-dir <dir> --output-dir <dir> [--layout csv|tables]
 
 Each table is one Spark plan over the flights fact (the same operators the
 registered queries use); nothing is collected to the driver except one-row

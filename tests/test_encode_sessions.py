@@ -121,7 +121,7 @@ def test_all_null_keys_and_top_k_ties(spark):
 
 
 def test_profile_job_writes_every_table(spark):
-    from jobs.profile import run
+    from jobs.eda_tables import run
     out = shared_path(spark, "profile-job")
     names = run(spark, FX.trips(spark, SF001), out)
     assert len(names) == 21
