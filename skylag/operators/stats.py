@@ -77,6 +77,18 @@ def distinct_count(df: DataFrame, c, approx=False) -> DataFrame:
     return df.agg(f.alias(f"n_distinct_{c}"))
 
 
+def _bucket_of(v, cuts) -> Column:
+    """Number of cut points strictly below ``v`` (bisect-left), as a
+    balanced tree of comparisons: log2(len(cuts)) deep and code-generated
+    (a higher-order ``filter`` over the cut array would be interpreted)."""
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.lit(cuts[mid]) < v, rec(mid + 1, hi)).otherwise(rec(lo, mid))
+    return rec(0, len(cuts))
+
+
 def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, partition_cols=(),
                 buckets=C.PREFIX_BUCKETS, inclusive=True) -> DataFrame:
     """Cumulative sums along ``order_col`` without a one-partition window.
@@ -110,7 +122,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
         return df.select(*df.columns, F.lit(0).alias("_bucket"), *[
             F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"cum_{c}") for c in sum_cols], *[
             F.sum(c).over(wall).alias(f"tot_{c}") for c in sum_cols])
-    b = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v))
+    b = _bucket_of(v, cuts)
     if descending:
         b = F.lit(len(cuts)) - b
     t = df.withColumn("_bucket", b.cast("int"))
