@@ -118,11 +118,21 @@ def fit_features(train: DataFrame, quantile=C.HUB_QUANTILE, cat_low=C.CAT_LOW_CL
         train = add_route_features(train)
     keys = list(STAT_KEYS) + [c for c in cat_low if c not in STAT_KEYS]
     stats = materialize(historical_bundle(train, keys=keys), "feature-stats")
-    counts = {r["level"]: r["cnt"] for r in stats.groupBy("level").agg(F.count(F.lit(1)).alias("cnt")).collect()}
-    g = stats.filter(F.col("level") == "GLOBAL").select("delay_mean", "delay_rate").first()
+    # one small job: per level its row count, the global values and the
+    # low-cardinality vocabularies (one row per level, <= 10 rows)
+    vocab_cols = [c for c in cat_low]
+    summary = stats.groupBy("level").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.max(F.when(F.col("level") == "GLOBAL", F.col("delay_mean"))).alias("gm"),
+        F.max(F.when(F.col("level") == "GLOBAL", F.col("delay_rate"))).alias("gr"),
+        *([F.collect_set(F.when(F.col("level").isin(vocab_cols),
+                                F.coalesce(*[F.col(c).cast("string") for c in vocab_cols]))).alias("vals")]
+          if vocab_cols else [F.array().alias("vals")])).collect()
+    counts = {r["level"]: r["cnt"] for r in summary}
+    g = next((r for r in summary if r["level"] == "GLOBAL"), None)
     # empty training input: the global values are missing (pandas gives NaN), not 0
-    gm = float(g["delay_mean"]) if g and g["delay_mean"] is not None else None
-    gr = float(g["delay_rate"]) if g and g["delay_rate"] is not None else None
+    gm = float(g["gm"]) if g is not None and g["gm"] is not None else None
+    gr = float(g["gr"]) if g is not None and g["gr"] is not None else None
     o = stats.filter(F.col("level") == "ORIGIN_AIRPORT").select(
         F.col("ORIGIN_AIRPORT").alias("airport"), F.col("delay_mean").alias("origin_te"),
         F.col("n").alias("departures"))
@@ -139,13 +149,9 @@ def fit_features(train: DataFrame, quantile=C.HUB_QUANTILE, cat_low=C.CAT_LOW_CL
         "airport", (F.col("total_movements") >= F.lit(thr)).cast("int").alias("is_hub"), "origin_te", "dest_te"),
         "feature-airports")
     rows = dict(counts)
-    rows["AIRPORTS"] = airports.count()
-    vocab = {}
-    if cat_low:
-        vrows = (stats.filter(F.col("level").isin(list(cat_low)))
-                 .select("level", F.coalesce(*[F.col(c).cast("string") for c in cat_low]).alias("v")).collect())
-        for c in cat_low:
-            vocab[c] = sorted(r["v"] for r in vrows if r["level"] == c and r["v"] is not None)
+    # upper bound of the airport table (origins + destinations): enough for the broadcast check
+    rows["AIRPORTS"] = counts.get("ORIGIN_AIRPORT", 0) + counts.get("DESTINATION_AIRPORT", 0)
+    vocab = {c: sorted(next((r["vals"] for r in summary if r["level"] == c), [])) for c in cat_low}
     stats = stats.filter(~F.col("level").isin([c for c in cat_low if c not in STAT_KEYS]))
     return FeatureModel(stats=stats, airports=airports, global_mean=gm, global_rate=gr,
                         hub_threshold=thr, vocab=vocab, rows=rows)
