@@ -740,12 +740,12 @@ def w1_hour_rates_above_mean(spark, d):
 
 
 @query("w3_session_history",
-       "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn "
+       "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn "
        "FROM conversations) WHERE rn <= 30")
 def w3_session_history(spark, d):
     """Last 30 messages per conversation."""
     c = TB.read_table(spark, d, "conversations")
-    return K.keep_last(c).select("conv_id", "turn", "role")
+    return K.keep_last(c).select("conv_id", "turn", "role", "text")
 
 
 @query("t1_top_routes", with_(["eda"],
