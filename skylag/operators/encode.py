@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.ml.feature import VectorAssembler
 
 from .. import config as C
-from ..session import materialize, shared_path
+from ..session import materialize
 from .features import add_route_features
-from .lookups import lookup_with_fallback, sized
+from .lookups import lookup_with_fallback
 from .stats import exact_quantiles, historical_bundle
 
 STAT_KEYS = ("ROUTE", "AIRLINE", "DEP_HOUR", "ORIGIN_AIRPORT", "DESTINATION_AIRPORT")
@@ -203,11 +203,3 @@ def assemble(df: DataFrame, cols, out="features") -> DataFrame:
     trees have no native missing-value branch)."""
     filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols})
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(filled)
-
-
-def save_path(spark: SparkSession, name: str) -> str:
-    return shared_path(spark, name)
-
-
-def broadcast_small(df: DataFrame, rows: int) -> DataFrame:
-    return sized(df, rows)
