@@ -4,7 +4,7 @@ Exact k-nearest search is brute force by nature. It is organised so that
 no task holds more than a bounded block: the query side is split into
 chunks of at most ``max_queries`` vectors, each chunk is shipped to the
 executors as a broadcast variable (size checked by construction), and every
-corpus partition keeps only its local top-k per query (``mapInPandas`` with
+corpus partition keeps only its local top-k per query (``mapInArrow`` with
 NumPy blocks). A final ``row_number() <= k`` per query merges the partial
 winners, so the shuffle carries k rows per query per corpus partition, not
 all pairs.
@@ -46,9 +46,13 @@ def entity_documents(airports: DataFrame, airlines: DataFrame) -> DataFrame:
 
 
 def _local_topk(qids, qmat, k, metric, cid, cvec):
-    """Per-partition task: local top-k of every query against the rows of
-    one corpus partition. Self-contained (NumPy/pandas only), so it is
-    shipped to the Python workers by value."""
+    """Per-partition task (``mapInArrow``): local top-k of every query
+    against the rows of one corpus partition. The vector column is
+    flattened zero-copy into a matrix; selection is vectorised, and only
+    rows with ties at the k-th distance take the exact (distance, id)
+    ordering row by row. Self-contained (NumPy/pyarrow only), so it ships
+    to the Python workers by value."""
+    import pyarrow as pa
     block = _BLOCK
 
     def distances(q, x, qn, xn):
@@ -59,32 +63,39 @@ def _local_topk(qids, qmat, k, metric, cid, cvec):
 
     def fn(batches):
         qn = np.linalg.norm(qmat, axis=1) if metric == "cosine" else None
-        for pdf in batches:
-            if len(pdf) == 0:
+        dim = qmat.shape[1]
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
                 continue
-            ids = pdf[cid].to_numpy()
-            xm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[cvec].to_numpy()])
+            ids = rb.column(cid).to_numpy(zero_copy_only=False)
+            xm = rb.column(cvec).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
             xn = np.linalg.norm(xm, axis=1) if metric == "cosine" else None
             out_q, out_c, out_d = [], [], []
+            kk = min(k, n)
             for s in range(0, len(qmat), block):
                 qb = qmat[s:s + block]
                 qnb = qn[s:s + block] if qn is not None else None
                 dist = np.concatenate([
                     distances(qb, xm[t:t + block], qnb, xn[t:t + block] if xn is not None else None)
-                    for t in range(0, len(xm), block)], axis=1)
-                kk = min(k, dist.shape[1])
-                for r in range(dist.shape[0]):
-                    row = dist[r]
-                    # candidates up to the k-th distance (ties kept), then exact order by (dist, id)
-                    kth = np.partition(row, kk - 1)[kk - 1]
-                    cand = np.nonzero(row <= kth)[0]
-                    order = cand[np.lexsort((ids[cand], row[cand]))][:kk]
-                    out_q.append(np.full(len(order), qids[s + r]))
+                    for t in range(0, n, block)], axis=1)
+                kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
+                mask = dist <= kth[:, None]
+                cnt = mask.sum(axis=1)
+                plain = cnt == kk                     # no tie at the boundary: exactly k candidates
+                r, c = np.nonzero(mask & plain[:, None])
+                out_q.append(qids[s + r])
+                out_c.append(ids[c])
+                out_d.append(dist[r, c])
+                for rr in np.nonzero(~plain)[0]:      # ties at the k-th distance: exact (distance, id) order
+                    cand = np.nonzero(mask[rr])[0]
+                    order = cand[np.lexsort((ids[cand], dist[rr, cand]))][:kk]
+                    out_q.append(np.full(len(order), qids[s + rr]))
                     out_c.append(ids[order])
-                    out_d.append(row[order])
-            if out_q:
-                yield pd.DataFrame({"query_id": np.concatenate(out_q), "match_id": np.concatenate(out_c),
-                                    "distance": np.concatenate(out_d)})
+                    out_d.append(dist[rr, order])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_c).astype(np.int64)),
+                 pa.array(np.concatenate(out_d), pa.float64())], names=["query_id", "match_id", "distance"])
     return fn
 
 
@@ -115,7 +126,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k=C.SEARCH_K, metric="l2", qid="q
         qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
         bq = spark.sparkContext.broadcast((qids, qmat))
         fn = _local_topk(bq.value[0], bq.value[1], k, metric, cid, cvec)
-        parts.append(corpus_ids.mapInPandas(fn, schema))
+        parts.append(corpus_ids.mapInArrow(fn, schema))
     if not parts:
         return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
     cand = parts[0]

@@ -142,3 +142,19 @@ def test_session_ttl_stream_matches_batch(spark):
     g = sorted(got.select(*cols).collect(), key=key)
     b = {key(r) for r in batch.select(*cols).collect()}
     assert g and all(key(r) in b for r in g)
+
+
+def test_knn_exact_under_ties(spark):
+    """Duplicated vectors: every query sees many equal distances; the k
+    nearest must be the k smallest ids among the ties."""
+    from pyspark.sql import types as T
+    rows = [(i, [float(i % 3), 1.0, 0.0]) for i in range(60)]          # 3 distinct vectors, 20 copies each
+    schema = T.StructType([T.StructField("vec_id", T.LongType()),
+                           T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    corpus = spark.createDataFrame(rows, schema).repartition(4)
+    q = corpus.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    got = S.knn(q, corpus, k=5).toPandas()
+    for qid, g in got.groupby("query_id"):
+        same = sorted(i for i in range(60) if i % 3 == qid % 3)[:5]
+        assert sorted(g["match_id"]) == same
+        assert (g["distance"] == 0).all()
