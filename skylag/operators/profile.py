@@ -24,8 +24,9 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
-    """Per column with nulls: count and percent (2 decimals), sorted by
-    count desc (column name breaks ties). One aggregation pass."""
+    """Per column with nulls: count and percent (2 decimals, half-even
+    like pandas), sorted by count desc (column name breaks ties). One
+    aggregation pass."""
     n = F.count(F.lit(1))
     aggs = [F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
     wide = df.agg(n.alias("_rows"), *aggs)
@@ -34,7 +35,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
     long = wide.select("_rows", st)
     return (long.filter(F.col("missing_count") > 0)
                 .select("column", "missing_count",
-                        F.round(F.col("missing_count") * 100.0 / F.col("_rows"), 2).alias("missing_pct"))
+                        F.bround(F.col("missing_count") * 100.0 / F.col("_rows"), 2).alias("missing_pct"))
                 .orderBy(F.col("missing_count").desc(), "column"))
 
 
@@ -59,14 +60,31 @@ def target_correlations(df: DataFrame, cols, target=Y) -> DataFrame:
 
 
 def histogram(df: DataFrame, c=Y, bins=100, lo=-60.0, hi=180.0) -> DataFrame:
-    """Fixed-width bins over the clipped range [lo, hi]; the last bin
-    is closed (a value equal to the top edge lands in bin n-1)."""
+    """``bins`` equal-width bins over the range of the values clipped to
+    [lo, hi] (edges from the data's min/max, as NumPy does); the last bin is
+    closed. Bin indices follow NumPy: floor((x - first) * bins / span),
+    then corrected against the edges ``first + i * span / bins`` so values
+    within an ulp of an edge land where NumPy puts them."""
     x = X.clip(c, lo, hi)
-    w = (hi - lo) / bins
-    b = F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(bins - 1)).cast("int")
-    return (df.filter(F.col(c).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-              .select("bin", (F.lit(lo) + F.col("bin") * F.lit(w)).alias("left"),
-                      (F.lit(lo) + (F.col("bin") + 1) * F.lit(w)).alias("right"), "n"))
+    base = df.filter(F.col(c).isNotNull()).select(x.alias("_x"))
+    r = base.agg(F.min("_x").alias("mn"), F.max("_x").alias("mx")).first()    # one-row aggregate
+    if r is None or r["mn"] is None:
+        return base.select(F.lit(0).alias("bin"), F.lit(0.0).alias("left"), F.lit(0.0).alias("right"),
+                           F.lit(0).cast("long").alias("n")).limit(0)
+    first, last = float(r["mn"]), float(r["mx"])
+    if first == last:                        # NumPy widens a zero range by 0.5 on each side
+        first, last = first - 0.5, last + 0.5
+    step = (last - first) / bins
+    norm = bins / (last - first)
+
+    def edge(i):
+        return F.when(i >= bins, F.lit(last)).otherwise(F.lit(first) + i * F.lit(step))
+    xi = F.col("_x")
+    i0 = F.least(F.floor((xi - F.lit(first)) * F.lit(norm)).cast("int"), F.lit(bins - 1))
+    i1 = F.when(xi < edge(i0), i0 - 1).otherwise(i0)
+    i2 = F.when((i1 != bins - 1) & (xi >= edge(i1 + 1)), i1 + 1).otherwise(i1)
+    return (base.groupBy(i2.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+                .select("bin", edge(F.col("bin")).alias("left"), edge(F.col("bin") + 1).alias("right"), "n"))
 
 
 def box_summary(df: DataFrame, c=Y, by=()) -> DataFrame:

@@ -488,7 +488,7 @@ TRIPS_COLUMNS = ["flight_id", "YEAR", "MONTH", "DAY", "DAY_OF_WEEK", "AIRLINE",
 
 
 @query("a7_missing_profile", with_(["trips"],
-       "SELECT column_name AS \"column\", missing_count, round(missing_count * 100.0 / n, 2) AS missing_pct FROM ("
+       "SELECT column_name AS \"column\", missing_count, round_even(missing_count * 100.0 / n, 2) AS missing_pct FROM ("
        + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count(\"{c}\") AS missing_count, count(*) AS n "
                             "FROM trips" for c in TRIPS_COLUMNS) + ") WHERE missing_count > 0"))
 def a7_missing_profile(spark, d):
@@ -535,13 +535,27 @@ def a11_correlations(spark, d):
     return r6(PR.correlation_matrix(e, CORR_COLS))
 
 
+HIST_CTES = [
+    "hx AS (SELECT greatest(-60.0, least(ARRIVAL_DELAY, 180.0)) AS x FROM eda WHERE ARRIVAL_DELAY IS NOT NULL)",
+    "hr AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS f, "
+    "CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS l FROM hx)",
+    "hp AS (SELECT f, l, (l - f) / 100 AS step, 100 / (l - f) AS norm FROM hr)",
+    "h0 AS (SELECT x, f, l, step, least(CAST(floor((x - f) * norm) AS INTEGER), 99) AS i0 FROM hx, hp)",
+    "h1 AS (SELECT *, CASE WHEN x < (CASE WHEN i0 >= 100 THEN l ELSE f + i0 * step END) THEN i0 - 1 ELSE i0 END AS i1 "
+    "FROM h0)",
+    "h2 AS (SELECT *, CASE WHEN i1 <> 99 AND x >= (CASE WHEN i1 + 1 >= 100 THEN l ELSE f + (i1 + 1) * step END) "
+    "THEN i1 + 1 ELSE i1 END AS bin FROM h1)",
+]
+
+
 @query("a12_histogram", with_(["eda"],
-       "SELECT bin, round(-60.0::DOUBLE + bin * 2.4::DOUBLE, 6) AS \"left\", "
-       "round(-60.0::DOUBLE + (bin + 1) * 2.4::DOUBLE, 6) AS \"right\", count(*) AS n FROM ("
-       "SELECT CAST(least(floor((greatest(-60.0, least(ARRIVAL_DELAY, 180.0)) + 60.0) / 2.4), 99) AS INTEGER) AS bin "
-       "FROM eda) GROUP BY bin"))
+       "SELECT bin, round(CASE WHEN bin >= 100 THEN l ELSE f + bin * step END, 6) AS \"left\", "
+       "round(CASE WHEN bin + 1 >= 100 THEN l ELSE f + (bin + 1) * step END, 6) AS \"right\", n FROM "
+       "(SELECT bin, any_value(f) AS f, any_value(l) AS l, any_value(step) AS step, count(*) AS n FROM h2 GROUP BY bin)",
+       extra=HIST_CTES))
 def a12_histogram(spark, d):
-    """100-bin histogram of delays clipped to [-60, 180]."""
+    """100-bin histogram of delays clipped to [-60, 180], edges from
+    the clipped data's range (NumPy binning)."""
     return r6(PR.histogram(eda(spark, d)))
 
 

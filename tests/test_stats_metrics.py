@@ -117,3 +117,21 @@ def test_airport_traffic_full_outer(spark):
     df = spark.createDataFrame(pd.DataFrame({"ORIGIN_AIRPORT": ["A", "A", "B"], "DESTINATION_AIRPORT": ["B", "C", "A"]}))
     t = {r["airport"]: (r["departures"], r["arrivals"]) for r in A.airport_traffic(df).collect()}
     assert t == {"A": (2, 1), "B": (1, 1), "C": (0, 1)}
+
+
+def test_histogram_matches_numpy(spark):
+    from skylag.operators import profile as PR
+    rng = np.random.default_rng(7)
+    y = np.concatenate([np.round(rng.normal(10, 50, 3000)), [-500.0, 400.0, 180.0, -60.0]])
+    df = spark.createDataFrame(pd.DataFrame({"ARRIVAL_DELAY": y}))
+    cnt, edges = np.histogram(np.clip(y, -60, 180), bins=100)
+    got = PR.histogram(df).toPandas().sort_values("bin")
+    assert dict(zip(got["bin"], got["n"])) == {i: int(c) for i, c in enumerate(cnt) if c > 0}
+    assert np.allclose(got["left"].to_numpy(), edges[got["bin"].to_numpy()])
+
+
+def test_missing_profile_half_even(spark):
+    from skylag.operators import profile as PR
+    # 1 missing of 800 rows = 0.125 % -> pandas .round(2) gives 0.12 (half to even)
+    df = spark.createDataFrame([(None if i == 0 else 1.0,) for i in range(800)], "v double")
+    assert PR.missing_profile(df).first()["missing_pct"] == 0.12
