@@ -261,7 +261,9 @@ def p11_j6_top_route_stats(spark, d):
        "CAST(coalesce(ARR_HOUR IN (0, 1, 2, 3, 4, 5, 21, 22, 23), false) AS INTEGER) AS ARR_IS_RED_EYE, "
        "CAST(coalesce(DEP_HOUR BETWEEN 14 AND 22, false) AS INTEGER) AS NB_DEP_PEAK, "
        "CAST(coalesce(ARR_HOUR BETWEEN 16 AND 23, false) AS INTEGER) AS NB_ARR_PEAK, "
-       "CAST(coalesce(DEP_HOUR IN (0, 1, 2, 3, 4, 5), false) AS INTEGER) AS NB_DEP_RED_EYE FROM hours"))
+       "CAST(coalesce(DEP_HOUR IN (0, 1, 2, 3, 4, 5), false) AS INTEGER) AS NB_DEP_RED_EYE, "
+       "CASE WHEN DEP_HOUR >= 0 AND DEP_HOUR < 6 THEN 'night' WHEN DEP_HOUR >= 6 AND DEP_HOUR < 12 THEN 'morning' "
+       "WHEN DEP_HOUR >= 12 AND DEP_HOUR < 18 THEN 'afternoon' ELSE 'evening' END AS NB_DEP_TIME_SLOT FROM hours"))
 def f1_f4_time_features(spark, d):
     """F1–F4 (+F3b/F4 notebook variants): hour folding, slots, peak and
     red-eye flags."""
@@ -270,7 +272,8 @@ def f1_f4_time_features(spark, d):
                     "ARR_IS_RED_EYE",
                     X.in_range_flag("DEP_HOUR", *C.NOTEBOOK_DEP_PEAK).alias("NB_DEP_PEAK"),
                     X.in_range_flag("ARR_HOUR", *C.NOTEBOOK_ARR_PEAK).alias("NB_ARR_PEAK"),
-                    X.is_red_eye("DEP_HOUR", C.NOTEBOOK_RED_EYE_HOURS).alias("NB_DEP_RED_EYE"))
+                    X.is_red_eye("DEP_HOUR", C.NOTEBOOK_RED_EYE_HOURS).alias("NB_DEP_RED_EYE"),
+                    X.time_slot_notebook("DEP_HOUR").alias("NB_DEP_TIME_SLOT"))
 
 
 @query("f5_f6_calendar_cyclic", with_(["prep"],
