@@ -265,15 +265,16 @@ def p11_j6_top_route_stats(spark, d):
        "CASE WHEN DEP_HOUR >= 0 AND DEP_HOUR < 6 THEN 'night' WHEN DEP_HOUR >= 6 AND DEP_HOUR < 12 THEN 'morning' "
        "WHEN DEP_HOUR >= 12 AND DEP_HOUR < 18 THEN 'afternoon' ELSE 'evening' END AS NB_DEP_TIME_SLOT FROM hours"))
 def f1_f4_time_features(spark, d):
-    """F1–F4 (+F3b/F4 notebook variants): hour folding, slots, peak and
+    """F1–F4 (+F3b/F4/F2 notebook variants): hour folding, slots, peak and
     red-eye flags."""
     t = FE.add_time_features(cleaned(spark, d))
-    return t.select("flight_id", "DEP_HOUR", "ARR_HOUR", "DEP_TIME_SLOT", "ARR_TIME_SLOT", "DEP_IS_PEAK_HOUR",
-                    "ARR_IS_RED_EYE",
-                    X.in_range_flag("DEP_HOUR", *C.NOTEBOOK_DEP_PEAK).alias("NB_DEP_PEAK"),
-                    X.in_range_flag("ARR_HOUR", *C.NOTEBOOK_ARR_PEAK).alias("NB_ARR_PEAK"),
-                    X.is_red_eye("DEP_HOUR", C.NOTEBOOK_RED_EYE_HOURS).alias("NB_DEP_RED_EYE"),
-                    X.time_slot_notebook("DEP_HOUR").alias("NB_DEP_TIME_SLOT"))
+    t = t.withColumnsRenamed({"DEP_IS_PEAK_HOUR": "_dep_peak", "ARR_IS_RED_EYE": "_arr_red_eye"})
+    nb = FE.add_notebook_time_flags(t)
+    return nb.select("flight_id", "DEP_HOUR", "ARR_HOUR", "DEP_TIME_SLOT", "ARR_TIME_SLOT",
+                     F.col("_dep_peak").alias("DEP_IS_PEAK_HOUR"), F.col("_arr_red_eye").alias("ARR_IS_RED_EYE"),
+                     F.col("DEP_IS_PEAK_HOUR").alias("NB_DEP_PEAK"), F.col("ARR_IS_PEAK_HOUR").alias("NB_ARR_PEAK"),
+                     F.col("DEP_IS_RED_EYE").alias("NB_DEP_RED_EYE"),
+                     X.time_slot_notebook("DEP_HOUR").alias("NB_DEP_TIME_SLOT"))
 
 
 @query("f5_f6_calendar_cyclic", with_(["prep"],
@@ -379,14 +380,14 @@ def f18_f22_decisions(spark, d):
 
 
 @query("f24_json_fields", with_(["slot_log"],
-       "SELECT seq, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, "
+       "SELECT seq, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.k') AS k_text, "
        "CAST(to_json({'slot': slot, 'k': CAST(json_extract_string(props, '$.k') AS INTEGER)}) AS VARCHAR) AS record "
        "FROM slot_log"))
 def f24_json_fields(spark, d):
     """decode a JSON payload (malformed -> null) and encode a record."""
     lg = FX.slot_log(spark, d)
     parsed = X.parse_json("props", "k INT")
-    return lg.select("seq", parsed["k"].alias("k"),
+    return lg.select("seq", parsed["k"].alias("k"), X.json_field("props", "$.k").alias("k_text"),
                      F.to_json(F.struct(F.col("slot"), parsed["k"].alias("k"))).alias("record"))
 
 
