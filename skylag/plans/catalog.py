@@ -1131,3 +1131,15 @@ def a11_p13_leakage_correlations(spark, d):
     restricted to the columns the frame actually has."""
     e = eda(spark, d)
     return r6(PR.correlation_matrix(e, P.existing(e, LEAKAGE_CORR)))
+
+
+@query("a2_a3_w1_arr_hour_rates", with_(["eda"],
+       f"SELECT ARR_HOUR, round(m, 6) AS delay_mean, round(r, 6) AS delay_rate, n, "
+       f"round(avg(r) OVER (), 6) AS mean_of_groups, r > avg(r) OVER () AS above_mean FROM "
+       f"(SELECT ARR_HOUR, avg(ARRIVAL_DELAY) AS m, avg({LATE}) * 100 AS r, count(*) AS n FROM eda "
+       "WHERE ARR_HOUR IS NOT NULL GROUP BY ARR_HOUR)"))
+def a2_a3_w1_arr_hour_rates(spark, d):
+    """A2 + A3 + W1 by arrival hour: mean delay, late % and count, flagged
+    against the plain mean of the hourly rates."""
+    g = A.group_stats(eda(spark, d), "ARR_HOUR", pct=True)
+    return r6(PR.above_group_mean(g, "delay_rate"))
