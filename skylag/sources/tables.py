@@ -115,18 +115,22 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_flights_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The flights CSV with its explicit schema (no inference pass)."""
-    df = spark.read.schema(FLIGHTS).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """The flights CSV with its explicit schema (no inference pass); the
+    header names are validated against the schema (``enforceSchema`` off),
+    so a file with another column order fails instead of being mis-read."""
+    df = (spark.read.schema(FLIGHTS).option("header", True).option("enforceSchema", False)
+          .option("mode", "PERMISSIVE").csv(path))
     return _nan_to_null(df)
 
 
 def read_airports_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(AIRPORTS).option("header", True).option("encoding", "UTF-8").csv(path)
+    df = (spark.read.schema(AIRPORTS).option("header", True).option("enforceSchema", False)
+          .option("encoding", "UTF-8").csv(path))
     return _nan_to_null(df)
 
 
 def read_airlines_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AIRLINES).option("header", True).csv(path)
+    return spark.read.schema(AIRLINES).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def load_flight_data(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:

@@ -107,3 +107,28 @@ def test_timestamp_parts_iso_weekday(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-07 13:45:00' AS ts")   # a Sunday
     r = df.select(*X.timestamp_parts("ts")).first()
     assert r["iso_weekday"] == 7 and r["weekday_name"] == "Sunday" and r["hour"] == 13
+
+
+def test_flights_csv_reader(spark, tmp_path):
+    import pytest
+    from skylag.sources.tables import FLIGHTS, load_flight_data
+    names = [f.name for f in FLIGHTS.fields]
+    row = {n: "" for n in names}
+    row.update({"YEAR": "2015", "MONTH": "1", "DAY": "1", "DAY_OF_WEEK": "4", "AIRLINE": "AA", "TAIL_NUMBER": "N1",
+                "ORIGIN_AIRPORT": "JFK", "DESTINATION_AIRPORT": "LAX", "SCHEDULED_DEPARTURE": "5",
+                "DISTANCE": "2475", "SCHEDULED_ARRIVAL": "430", "ARRIVAL_DELAY": "NaN", "DIVERTED": "0", "CANCELLED": "0"})
+    d = tmp_path / "data"
+    d.mkdir()
+    (d / "flights.csv").write_text(",".join(names) + "\n" + ",".join(row[n] for n in names) + "\n")
+    (d / "airports.csv").write_text("IATA_CODE,AIRPORT,CITY,STATE,COUNTRY,LATITUDE,LONGITUDE\n"
+                                    "JFK,John F. Kennedy,New York,NY,USA,40.64,-73.78\nECP,Beaches,Panama City,FL,USA,,\n")
+    (d / "airlines.csv").write_text("IATA_CODE,AIRLINE\nAA,American Airlines Inc.\n")
+    t = load_flight_data(spark, str(d))
+    r = t["flights"].first()
+    assert r["SCHEDULED_DEPARTURE"] == 5 and r["DISTANCE"] == 2475.0 and r["ARRIVAL_DELAY"] is None
+    assert t["airports"].filter("IATA_CODE = 'ECP'").first()["LATITUDE"] is None
+    (d / "flights.csv").write_text(",".join(reversed(names)) + "\n" + ",".join(row[n] for n in reversed(names)) + "\n")
+    with pytest.raises(Exception):
+        load_flight_data(spark, str(d))["flights"].collect()
+    with pytest.raises(FileNotFoundError):
+        load_flight_data(spark, str(tmp_path / "missing"))

@@ -158,3 +158,21 @@ def test_knn_exact_under_ties(spark):
         same = sorted(i for i in range(60) if i % 3 == qid % 3)[:5]
         assert sorted(g["match_id"]) == same
         assert (g["distance"] == 0).all()
+
+
+def test_train_job_on_csv_layout(spark):
+    """S1 (CSV layout) + S7: flights.csv with the full column order, the two
+    dimension files, then the whole training job with a tiny preset."""
+    from jobs.train import run
+    from skylag.sources.tables import FLIGHTS
+    d = shared_path(spark, "csv-layout")
+    t = FX.trips(spark, SF001)
+    cols = [F.col(f.name).cast(f.dataType) if f.name in t.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in FLIGHTS.fields]
+    t.select(*cols).coalesce(1).write.option("header", True).csv(f"{d}/flights.csv")
+    FX.airports(spark, SF001).coalesce(1).write.option("header", True).csv(f"{d}/airports.csv")
+    FX.airlines(spark, SF001).coalesce(1).write.option("header", True).csv(f"{d}/airlines.csv")
+    tiny = {"maxIter": 3, "maxDepth": 2, "stepSize": 0.1}
+    m = {(r["task"], r["metric"]): r["value"] for r in run(spark, d, shared_path(spark, "csv-out"), tiny, tiny,
+                                                           layout="csv").collect()}
+    assert m[("summary", "test_set_size")] > 0 and 0 <= m[("classification", "roc_auc")] <= 1
