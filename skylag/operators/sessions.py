@@ -31,6 +31,19 @@ def slot_state(log: DataFrame, slots, session="session_id", slot="slot", value="
     return log.groupBy(session).agg(*aggs)
 
 
+def slot_state_from_calls(calls: DataFrame, fields, args="args", session="session_id", ts="ts",
+                          seq="seq") -> DataFrame:
+    """K1 in the tool-call form: each record carries a JSON object of slot
+    arguments (any subset of ``fields``); malformed JSON is ignored
+    (PERMISSIVE parse) and null arguments never overwrite a slot. One
+    group-by per session with ``max_by`` per field (map-side combined)."""
+    schema = ", ".join(f"`{f}` DOUBLE" for f in fields)
+    parsed = calls.withColumn("_a", X.parse_json(args, schema))
+    key = _order_key(ts, seq)
+    aggs = [F.max_by(F.col(f"_a.{f}"), F.when(F.col(f"_a.{f}").isNotNull(), key)).alias(f) for f in fields]
+    return parsed.groupBy(session).agg(*aggs)
+
+
 def latest_record(log: DataFrame, record, session="session_id", ts="ts", seq="seq",
                   name="last_record") -> DataFrame:
     """Latest non-null record (e.g. a prediction struct) per session."""

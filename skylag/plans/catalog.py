@@ -893,6 +893,14 @@ def k1_w2_slot_state(spark, d):
     return K.slot_state(FX.slot_log(spark, d), SLOTS)
 
 
+@query("k1_f24_tool_call_slots", with_(["slot_log"], "SELECT * FROM st", extra=[_slot_sql()]))
+def k1_f24_tool_call_slots(spark, d):
+    """K1 + F24 in the tool-call form: JSON argument objects parsed with the
+    slot schema, latest non-null value per slot and session (must equal
+    k1_w2_slot_state on the same events)."""
+    return K.slot_state_from_calls(FX.tool_call_log(spark, d), SLOTS)
+
+
 MISSING_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN {s} IS NULL THEN '{s}' END" for s in SLOTS) + ")"
 
 

@@ -88,6 +88,14 @@ def slot_log(spark: SparkSession, data_dir: str) -> DataFrame:
         F.col("event_type").alias("slot"), F.col("value"), F.col("props"))
 
 
+def tool_call_log(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Tool-call records from ``events``: one call per event whose JSON
+    arguments set the slot named by the event type."""
+    e = read_table(spark, data_dir, "events")
+    return e.select(F.col("user_id").alias("session_id"), F.col("ts"), F.col("event_id").alias("seq"),
+                    F.to_json(F.create_map(F.col("event_type"), F.col("value"))).alias("args"))
+
+
 # ---------------------------------------------------------------------------
 # DuckDB text of the same stand-ins (CTE bodies).
 TRIPS_SQL = """

@@ -127,3 +127,17 @@ def test_profile_job_writes_every_table(spark):
     assert len(names) == 21
     assert spark.read.parquet(f"{out}/row_funnel").first()["rows_raw"] == FX.trips(spark, SF001).count()
     assert spark.read.parquet(f"{out}/by_dep_hour").count() == 24
+
+
+def test_slot_state_from_tool_calls(spark):
+    from datetime import datetime
+    rows = [(1, datetime(2024, 1, 1, 1), 1, '{"month": 12, "distance": 199.2}'),
+            (1, datetime(2024, 1, 1, 2), 2, '{"month": null, "day_of_week": 5}'),     # null never overwrites
+            (1, datetime(2024, 1, 1, 3), 3, "not json"),                              # ignored
+            (1, datetime(2024, 1, 1, 4), 4, '{"distance": 250.0}'),
+            (2, datetime(2024, 1, 1, 1), 5, '{"month": 3}')]
+    calls = spark.createDataFrame(rows, "session_id int, ts timestamp_ntz, seq long, args string")
+    out = {r["session_id"]: r.asDict() for r in K.slot_state_from_calls(
+        calls, ["month", "day_of_week", "distance"]).collect()}
+    assert (out[1]["month"], out[1]["day_of_week"], out[1]["distance"]) == (12.0, 5.0, 250.0)
+    assert (out[2]["month"], out[2]["day_of_week"], out[2]["distance"]) == (3.0, None, None)
