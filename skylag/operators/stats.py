@@ -89,13 +89,21 @@ def _bucket_of(v, cuts) -> Column:
     return rec(0, len(cuts))
 
 
+def default_buckets(df: DataFrame) -> int:
+    """Range buckets for prefix sums: as many as the cluster's shuffle width
+    (so the window stage runs with full parallelism), at least 64."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(C.PREFIX_BUCKETS, n)
+
+
 def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, partition_cols=(),
-                buckets=C.PREFIX_BUCKETS, inclusive=True) -> DataFrame:
+                buckets: int | None = None, inclusive=True) -> DataFrame:
     """Cumulative sums along ``order_col`` without a one-partition window.
 
     ``df`` must hold one row per distinct (partition_cols, order_col). The
-    ordered key space is cut into ``buckets`` ranges (cut points from one
-    approximate-percentile pass: a bounded list). Bucket totals give each
+    ordered key space is cut into ``buckets`` ranges (default: the shuffle
+    width, at least 64; cut points from one approximate-percentile pass: a
+    list bounded by that setting). Bucket totals give each
     bucket's offset; the running sum inside a bucket is a window partitioned
     by (partition_cols, bucket), so no task sees more than its range.
     Adds ``cum_<c>``, the grand total ``tot_<c>`` (per partition group) and
@@ -104,6 +112,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
     sum_cols = list(sum_cols)
     parts = list(partition_cols)
     v = F.col(order_col)
+    buckets = default_buckets(df) if buckets is None else buckets
     if buckets > 1:
         # the input is an aggregate read twice (cut points, then sums): write
         # it once instead of recomputing its whole upstream plan
@@ -122,10 +131,17 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
         return df.select(*df.columns, F.lit(0).alias("_bucket"), *[
             F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"cum_{c}") for c in sum_cols], *[
             F.sum(c).over(wall).alias(f"tot_{c}") for c in sum_cols])
-    b = _bucket_of(v, cuts)
+    if len(cuts) <= 256:
+        t = df.withColumn("_bucket", _bucket_of(v, cuts).cast("int"))
+    else:
+        # many cut points: JVM binary search per row (Bucketizer) instead of a huge expression
+        from pyspark.ml.feature import Bucketizer
+        splits = [float("-inf")] + [float(c) for c in cuts] + [float("inf")]
+        t = (Bucketizer(splits=splits, inputCol="_bv", outputCol="_bk")
+             .transform(df.withColumn("_bv", v.cast("double")))
+             .withColumn("_bucket", F.col("_bk").cast("int")).drop("_bv", "_bk"))
     if descending:
-        b = F.lit(len(cuts)) - b
-    t = df.withColumn("_bucket", b.cast("int"))
+        t = t.withColumn("_bucket", F.lit(len(cuts)) - F.col("_bucket"))
     totals = t.groupBy(*parts, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wo = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*parts)
@@ -156,7 +172,7 @@ def exact_quantiles(df: DataFrame, c: str, probs, by=(), bounded: bool = False)
     by = list(by)
     probs = [float(p) for p in probs]
     vc = (df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_cnt")))
-    cum = prefix_sums(vc, c, ["_cnt"], partition_cols=by, buckets=1 if bounded else C.PREFIX_BUCKETS)
+    cum = prefix_sums(vc, c, ["_cnt"], partition_cols=by, buckets=1 if bounded else None)
     n, cm, v = F.col("tot__cnt"), F.col("cum__cnt"), F.col(c).cast("double")
     aggs = []
     for i, p in enumerate(probs):

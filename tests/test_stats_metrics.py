@@ -135,3 +135,15 @@ def test_missing_profile_half_even(spark):
     # 1 missing of 800 rows = 0.125 % -> pandas .round(2) gives 0.12 (half to even)
     df = spark.createDataFrame([(None if i == 0 else 1.0,) for i in range(800)], "v double")
     assert PR.missing_profile(df).first()["missing_pct"] == 0.12
+
+
+def test_prefix_sums_many_buckets(spark):
+    """Past 256 cut points the bucket is found by a JVM binary search."""
+    vals = np.arange(5000, dtype=float)
+    w = (vals.astype(int) % 5 + 1)
+    df = spark.createDataFrame(pd.DataFrame({"v": vals, "w": w}))
+    for desc in (False, True):
+        got = A.prefix_sums(df, "v", ["w"], buckets=600, descending=desc).toPandas().sort_values("v")
+        exp = np.cumsum(w) if not desc else np.cumsum(w[::-1])[::-1]
+        assert (got["cum_w"].to_numpy() == exp).all()
+        assert got["_bucket"].nunique() > 256
