@@ -49,3 +49,33 @@ def test_roc_auc_equals_pairwise_count(spark, rows):
     else:
         exp = sum((neg < p).sum() + 0.5 * (neg == p).sum() for p in pos) / (len(pos) * len(neg))
         assert got == pytest.approx(exp)
+
+
+@SETTINGS
+@given(st.lists(st.integers(-100, 250), min_size=1, max_size=300), st.sampled_from([5, 10, 100]))
+def test_histogram_equals_numpy(spark, ys, bins):
+    from skylag.operators import profile as PR
+    y = np.array(ys, dtype=float)
+    df = spark.createDataFrame(pd.DataFrame({"ARRIVAL_DELAY": y}))
+    cnt, _ = np.histogram(np.clip(y, -60, 180), bins=bins)
+    got = PR.histogram(df, bins=bins).toPandas()
+    assert dict(zip(got["bin"], got["n"])) == {i: int(c) for i, c in enumerate(cnt) if c > 0}
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 9)), min_size=2, max_size=200))
+def test_best_threshold_equals_bruteforce(spark, rows):
+    y = np.array([r[0] for r in rows])
+    s = np.array([r[1] for r in rows], dtype=float) / 10
+    if y.sum() == 0:
+        return
+    df = spark.createDataFrame(pd.DataFrame({"label": y, "score": s}))
+    best = M.best_f1_threshold(df).first()
+    cands = []
+    for t in sorted(set(s)):
+        p = s >= t
+        tp = (p & (y == 1)).sum()
+        prec, rec = tp / p.sum(), tp / y.sum()
+        cands.append((2 * prec * rec / (prec + rec + 1e-9), -t))
+    f1, neg_t = max(cands)
+    assert best["threshold"] == pytest.approx(-neg_t) and best["f1"] == pytest.approx(f1)
