@@ -185,14 +185,18 @@ def requests(spark, d):
                     F.col("AIRLINE").alias("airline_code"), F.col("DISTANCE").alias("distance"))
 
 
-@query("p6_validate_requests", with_(["trips"],
-       "SELECT flight_id, concat_ws('; ', "
-       "CASE WHEN scheduled_departure_hour IS NULL OR scheduled_departure_hour < 0 OR scheduled_departure_hour > 23 "
-       "THEN 'scheduled_departure_hour must be in [0, 23]' END, "
-       "CASE WHEN scheduled_arrival_hour IS NULL OR scheduled_arrival_hour < 0 OR scheduled_arrival_hour > 23 "
-       "THEN 'scheduled_arrival_hour must be in [0, 23]' END) AS errors FROM req "
-       "WHERE scheduled_departure_hour > 23 OR scheduled_arrival_hour > 23 OR month NOT BETWEEN 1 AND 12 "
-       "OR day_of_week NOT BETWEEN 1 AND 7 OR distance < 0", extra=[REQ_SQL]))
+def _p6_sql() -> str:
+    checks = [f"CASE WHEN {n} IS NULL OR {n} < {lo} OR {n} > {hi} THEN '{n} must be in [{lo}, {hi}]' END"
+              for n, lo, hi in C.REQUEST_RULES]
+    checks += [f"CASE WHEN {n} IS NULL OR length({n}) < 1 THEN '{n} must not be empty' END"
+               for n in ("origin_airport_code", "destination_airport_code", "airline_code")]
+    checks.append("CASE WHEN distance IS NULL OR isnan(distance) OR distance < 0 THEN 'distance must be >= 0' END")
+    errs = "concat_ws('; ', " + ", ".join(checks) + ")"
+    return with_(["trips"], f"SELECT flight_id, errors FROM (SELECT flight_id, {errs} AS errors FROM req) "
+                 "WHERE errors <> ''", extra=[REQ_SQL])
+
+
+@query("p6_validate_requests", _p6_sql())
 def p6_validate_requests(spark, d):
     """Quarantined requests with their reasons (valid rows continue)."""
     _, bad = P.split_valid(requests(spark, d))
