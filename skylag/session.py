@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "skylag",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, extra_conf: dict | None = None) -> SparkSession:
     """Session with the settings the engine relies on.
 
     On a cluster the launcher owns master/memory; we only pin semantics
@@ -30,6 +30,7 @@ def get_session(master: str | None = None, app: str = "skylag",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.update(extra_conf or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
