@@ -141,3 +141,19 @@ def test_slot_state_from_tool_calls(spark):
         calls, ["month", "day_of_week", "distance"]).collect()}
     assert (out[1]["month"], out[1]["day_of_week"], out[1]["distance"]) == (12.0, 5.0, 250.0)
     assert (out[2]["month"], out[2]["day_of_week"], out[2]["distance"]) == (3.0, None, None)
+
+
+def test_matrix_column_order():
+    from skylag import config as C
+    vocab = {"DEP_TIME_SLOT": ["afternoon", "evening", "morning", "night"], "DISTANCE_CAT": ["long", "medium", "short"],
+             "ARR_TIME_SLOT": ["afternoon", "evening", "morning", "night"]}
+    cols = E.matrix_columns(C.FEATURES_CLS, C.CAT_LOW_CLS, C.CAT_HIGH, vocab)
+    assert cols == [
+        "MONTH_SIN", "MONTH_COS", "DAY_SIN", "DAY_COS", "DEP_HOUR_SIN", "DEP_HOUR_COS", "ARR_HOUR_SIN", "ARR_HOUR_COS",
+        "IS_WEEKEND", "IS_SUMMER", "IS_HOLIDAY_SEASON", "DEP_IS_PEAK_HOUR", "DEP_IS_RED_EYE", "ARR_IS_PEAK_HOUR",
+        "ARR_IS_RED_EYE", "IS_ORIGIN_HUB", "IS_DEST_HUB", "ROUTE_DELAY_RATE_15", "AIRLINE_DELAY_RATE_15",
+        "HOUR_DELAY_RATE_15", "DEP_TIME_SLOT_evening", "DEP_TIME_SLOT_morning", "DEP_TIME_SLOT_night",
+        "DISTANCE_CAT_medium", "DISTANCE_CAT_short", "ARR_TIME_SLOT_evening", "ARR_TIME_SLOT_morning",
+        "ARR_TIME_SLOT_night", "ROUTE_TE", "ORIGIN_AIRPORT_TE", "DESTINATION_AIRPORT_TE", "AIRLINE_TE"]
+    reg = E.matrix_columns(C.FEATURES_REG, C.CAT_LOW_REG, C.CAT_HIGH, vocab)
+    assert reg[-4:] == ["ROUTE_TE", "ORIGIN_AIRPORT_TE", "DESTINATION_AIRPORT_TE", "AIRLINE_TE"] and len(reg) == 21
