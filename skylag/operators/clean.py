@@ -74,6 +74,14 @@ def ensure_columns(df: DataFrame, required) -> DataFrame:
     return df.select(*[F.col(c) if c in have else F.lit(0).alias(c) for c in required])
 
 
+def add_missing_columns(df: DataFrame, required) -> DataFrame:
+    """P9 for scoring: required columns that are absent become 0; all other
+    columns are kept (they carry ids and outputs)."""
+    have = set(df.columns)
+    missing = {c: F.lit(0) for c in required if c not in have}
+    return df.withColumns(missing) if missing else df
+
+
 def min_support(df: DataFrame, count_col="count", n=C.MIN_ROUTE_SUPPORT) -> DataFrame:
     """P10: HAVING count >= n on an aggregate."""
     return df.filter(F.col(count_col) >= n)

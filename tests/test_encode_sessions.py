@@ -157,3 +157,9 @@ def test_matrix_column_order():
         "ARR_TIME_SLOT_night", "ROUTE_TE", "ORIGIN_AIRPORT_TE", "DESTINATION_AIRPORT_TE", "AIRLINE_TE"]
     reg = E.matrix_columns(C.FEATURES_REG, C.CAT_LOW_REG, C.CAT_HIGH, vocab)
     assert reg[-4:] == ["ROUTE_TE", "ORIGIN_AIRPORT_TE", "DESTINATION_AIRPORT_TE", "AIRLINE_TE"] and len(reg) == 21
+
+
+def test_add_missing_columns_keeps_others(spark):
+    df = spark.createDataFrame([(1, 2.0)], "flight_id int, A double")
+    out = P.add_missing_columns(df, ["A", "B_evening"]).first()
+    assert out["flight_id"] == 1 and out["A"] == 2.0 and out["B_evening"] == 0
