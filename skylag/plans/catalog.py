@@ -1107,7 +1107,8 @@ S6_CTES = [
 def s6_metrics_table(spark, d):
     """Metrics as a long (task, metric, value) table and its API subset
     (core metrics, absent -> 0.0), for the route-rate pseudo-score."""
-    s = scored_test(spark, d)
+    from ..session import materialize
+    s = materialize(scored_test(spark, d), "scored-test")     # read by three metric families
     cls = M.classifier_metrics(s, threshold=0.25)
     auc = M.roc_auc(s)
     reg = M.regression_metrics(s.filter(F.col("y") > C.DELAY_THRESHOLD))
