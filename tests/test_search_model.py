@@ -176,3 +176,17 @@ def test_train_job_on_csv_layout(spark):
     m = {(r["task"], r["metric"]): r["value"] for r in run(spark, d, shared_path(spark, "csv-out"), tiny, tiny,
                                                            layout="csv").collect()}
     assert m[("summary", "test_set_size")] > 0 and 0 <= m[("classification", "roc_auc")] <= 1
+
+
+def test_spark_ml_pipeline_wrapper(spark):
+    from pyspark.ml import Pipeline
+    p = FE.add_route_features(FE.preprocess_flights(FX.trips(spark, SF001)))
+    tr, te = P.split_by_month(p)
+    tiny = {"maxIter": 3, "maxDepth": 2, "stepSize": 0.1}
+    pm = Pipeline(stages=[MD.TwoStageDelayEstimator(tiny, tiny)]).fit(tr)
+    a = pm.transform(te).select("flight_id", "delay_probability", "delay_minutes")
+    path = shared_path(spark, "ml-wrapper")
+    pm.stages[0].write().overwrite().save(path)
+    b = MD.TwoStageDelayModel.load(path).transform(te).select("flight_id", "delay_probability", "delay_minutes")
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
