@@ -19,7 +19,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
 
 from .. import config as C
 from ..session import materialize
@@ -203,3 +205,48 @@ def assemble(df: DataFrame, cols, out="features") -> DataFrame:
     trees have no native missing-value branch)."""
     filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols})
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(filled)
+
+
+# -- Spark ML wrappers (E8): the feature chain as an Estimator / Model --------------
+
+class DelayFeatureEstimator(Estimator):
+    """``fit(train)``: every feature statistic from the training rows only."""
+
+    def __init__(self, quantile: float = C.HUB_QUANTILE):
+        super().__init__()
+        self.quantile = quantile
+
+    def _fit(self, dataset: DataFrame) -> "DelayFeatureModel":
+        return DelayFeatureModel(fit_features(dataset, quantile=self.quantile))
+
+
+class _FeatureWriter(MLWriter):
+    def __init__(self, instance: "DelayFeatureModel"):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        self.instance.inner.save(path)
+
+
+class _FeatureReader(MLReader):
+    def load(self, path: str) -> "DelayFeatureModel":
+        return DelayFeatureModel(FeatureModel.load(SparkSession.getActiveSession(), path))
+
+
+class DelayFeatureModel(Model, MLWritable, MLReadable):
+    """Applies the fitted statistics to any flights frame (batch or stream)."""
+
+    def __init__(self, inner: FeatureModel | None = None):
+        super().__init__()
+        self.inner = inner
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.inner.transform(dataset)
+
+    def write(self) -> MLWriter:
+        return _FeatureWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _FeatureReader()

@@ -163,3 +163,16 @@ def test_add_missing_columns_keeps_others(spark):
     df = spark.createDataFrame([(1, 2.0)], "flight_id int, A double")
     out = P.add_missing_columns(df, ["A", "B_evening"]).first()
     assert out["flight_id"] == 1 and out["A"] == 2.0 and out["B_evening"] == 0
+
+
+def test_feature_estimator_in_pipeline(spark):
+    from pyspark.ml import Pipeline
+    tr, te = P.split_by_month(_prepared(spark))
+    pm = Pipeline(stages=[E.DelayFeatureEstimator()]).fit(tr)
+    path = shared_path(spark, "feature-est")
+    pm.stages[0].write().overwrite().save(path)
+    cols = ["flight_id", "ROUTE_DELAY_MEAN", "HOUR_DELAY_RATE_15", "IS_ORIGIN_HUB", "DESTINATION_AIRPORT_TE"]
+    key = lambda r: tuple(str(x) for x in r)
+    a = sorted(pm.transform(te).select(*cols).collect(), key=key)
+    b = sorted(E.DelayFeatureModel.load(path).transform(te).select(*cols).collect(), key=key)
+    assert a == b and len(a) == te.count()
