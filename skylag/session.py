@@ -65,17 +65,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/skylag/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str, spread_reads: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, spread_reads: bool = False, partition_by=None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts lineage so later stages (and retries after a lost executor) start
     from durable files instead of recomputing the plan. ``spread_reads``
     is for tables read many times (training matrices): see
-    ``sources.tables.spread``.
+    ``sources.tables.spread``. ``partition_by`` writes Hive-style
+    partitions so later filters on those columns prune whole folders.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    w.parquet(path)
     out = spark.read.parquet(path)
     if spread_reads:
         from .sources.tables import path_size, spread
