@@ -67,10 +67,12 @@ def tables(raw: DataFrame) -> dict[str, DataFrame]:
 
 
 def run(spark: SparkSession, raw: DataFrame, output_dir: str) -> list[str]:
+    from skylag.session import scratch_scope
     out = []
-    for name, df in tables(raw).items():
-        df.write.mode("overwrite").parquet(f"{output_dir}/{name}")
-        out.append(name)
+    with scratch_scope(spark, "eda"):          # intermediates removed once every table is written
+        for name, df in tables(raw).items():
+            df.write.mode("overwrite").parquet(f"{output_dir}/{name}")
+            out.append(name)
     return out
 
 

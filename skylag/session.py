@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,10 +60,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+SCRATCH_KEY = "skylag.scratch.root"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/skylag/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared checkpoint folder (or under the
+    current ``scratch_scope``)."""
+    root = spark.conf.get(SCRATCH_KEY, None)
+    if not root:
+        root = ensure_checkpoint_dir(spark).rstrip("/") + "/skylag"
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str = "job"):
+    """Route the intermediates written inside the block (``materialize``,
+    ``shared_path``) to one folder on the shared storage and delete it on
+    exit. Use it around a job whose outputs are written elsewhere; frames
+    that read the intermediates must not be used after the block."""
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/skylag/{name}-scratch-{uuid.uuid4().hex[:12]}"
+    prev = spark.conf.get(SCRATCH_KEY, None)
+    spark.conf.set(SCRATCH_KEY, root)
+    try:
+        yield root
+    finally:
+        if prev:
+            spark.conf.set(SCRATCH_KEY, prev)
+        else:
+            spark.conf.unset(SCRATCH_KEY)
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            fs.delete(p, True)
 
 
 def materialize(df: DataFrame, name: str, spread_reads: bool = False, partition_by=None) -> DataFrame:

@@ -176,3 +176,13 @@ def test_feature_estimator_in_pipeline(spark):
     a = sorted(pm.transform(te).select(*cols).collect(), key=key)
     b = sorted(E.DelayFeatureModel.load(path).transform(te).select(*cols).collect(), key=key)
     assert a == b and len(a) == te.count()
+
+
+def test_scratch_scope_removes_intermediates(spark):
+    from skylag.session import materialize, scratch_scope
+    from skylag.sources.tables import path_exists
+    with scratch_scope(spark, "t") as root:
+        m = materialize(spark.range(10), "x")
+        assert m.count() == 10 and path_exists(spark, root)
+    assert not path_exists(spark, root)
+    assert spark.conf.get("skylag.scratch.root", None) is None
