@@ -129,7 +129,7 @@ def hub_combo_rates(df: DataFrame, y=Y, threshold=C.DELAY_THRESHOLD) -> DataFram
     """Late % for the four origin/destination hub combinations plus
     each rate's position against the unweighted mean of the four (W1)."""
     g = df.groupBy("IS_ORIGIN_HUB", "IS_DEST_HUB").agg((late_rate(y, threshold) * 100).alias("delay_rate"))
-    g = g.withColumn("combo", X.hub_combo_label())
+    g = materialize(g.withColumn("combo", X.hub_combo_label()), "hub-combos")   # read twice below
     m = g.agg(F.avg("delay_rate").alias("mean_of_combos"))
     return attach_row(g, m).withColumn("above_mean", F.col("delay_rate") > F.col("mean_of_combos"))
 
@@ -143,6 +143,7 @@ def above_group_mean(stats: DataFrame, value: str) -> DataFrame:
     """Flag groups above the unweighted mean of the group values. The
     group mean is a one-row aggregate attached by a broadcast join, so no
     single task has to hold all groups."""
+    stats = materialize(stats, "group-stats")      # one pass over the facts; read twice below
     m = stats.agg(F.avg(value).alias("mean_of_groups"))
     return attach_row(stats, m).withColumn("above_mean", F.col(value) > F.col("mean_of_groups"))
 

@@ -204,7 +204,9 @@ def airport_traffic(df: DataFrame, origin="ORIGIN_AIRPORT", dest="DESTINATION_AI
 
 def hub_airports(df: DataFrame, quantile=C.HUB_QUANTILE) -> DataFrame:
     """Airports whose traffic is >= the traffic quantile (one column)."""
-    traffic = airport_traffic(df)
+    # one pass over the facts: the airport-level table is written once, then
+    # the threshold, the filter and any size check read that small table
+    traffic = materialize(airport_traffic(df), "airport-traffic")
     thr = hub_threshold(traffic, quantile)
     return (traffic.filter(F.col("total_movements") >= F.lit(thr))
                    .select(F.col("airport").alias("HUB_AIRPORT")))
