@@ -1,0 +1 @@
+"""spark-submit entry points."""

@@ -1,0 +1 @@
+"""Column -> Column expressions (native Spark functions only)."""

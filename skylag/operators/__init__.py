@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators; every one runs distributed on the executors."""

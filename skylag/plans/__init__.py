@@ -1,0 +1 @@
+"""Registered queries (Spark callables + DuckDB oracle text) behind __spark_entry__."""

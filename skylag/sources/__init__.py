@@ -1,0 +1 @@
+"""Readers with explicit schemas and stand-in inputs built from the test tables."""

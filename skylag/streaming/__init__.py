@@ -1,0 +1 @@
+"""Structured Streaming jobs: stream scoring and session state."""
