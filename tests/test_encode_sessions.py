@@ -186,3 +186,10 @@ def test_scratch_scope_removes_intermediates(spark):
         assert m.count() == 10 and path_exists(spark, root)
     assert not path_exists(spark, root)
     assert spark.conf.get("skylag.scratch.root", None) is None
+
+
+def test_intermediates_live_under_the_checkpoint_dir(spark):
+    from skylag.session import ensure_checkpoint_dir, shared_path
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    assert shared_path(spark, "x").startswith(base + "/skylag/")
+    assert spark.conf.get("spark.checkpoint.dir") == base or spark.sparkContext.getCheckpointDir()
