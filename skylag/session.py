@@ -25,6 +25,9 @@ def get_session(master: str | None = None, app: str = "skylag",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # wide one-pass aggregates (28 correlations, per-column null counts)
+        # exceed the default 100-field limit and would lose whole-stage codegen
+        "spark.sql.codegen.maxFields": "1000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
