@@ -207,3 +207,21 @@ def test_model_learns_a_seeded_signal(spark):
     met = {(r["task"], r["metric"]): r["value"] for r in MD.evaluate_two_stage(m, te).collect()}
     assert met[("classification", "roc_auc")] > 0.95
     assert met[("regression", "mae")] < 0.5 * met[("regression", "baseline_mae")]
+
+
+def test_scoring_jobs_cli(spark, quick_model):
+    """jobs/score.py and jobs/stream_score.py on a saved model give the same rows."""
+    from jobs import score, stream_score
+    from skylag.plans import catalog as CT
+    m, tr, te = quick_model
+    base = shared_path(spark, "cli")
+    MD.TwoStageDelayModel(m).write().save(f"{base}/out/model")
+    CT.requests(spark, SF001).repartition(2).write.parquet(f"{base}/req")
+    score.main(["--model-dir", f"{base}/out", "--requests", f"{base}/req", "--output", f"{base}/batch"])
+    stream_score.main(["--model-dir", f"{base}/out", "--source", f"{base}/req", "--output", f"{base}/stream",
+                       "--checkpoint", f"{base}/ck"])
+    cols = ["flight_id", "delay_probability", "delayed", "delay_minutes", "error"]
+    key = lambda r: tuple(str(x) for x in r)
+    a = sorted(spark.read.parquet(f"{base}/batch").select(*cols).collect(), key=key)
+    b = sorted(spark.read.parquet(f"{base}/stream").select(*cols).collect(), key=key)
+    assert a == b and len(a) == 6000
