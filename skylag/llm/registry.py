@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .decontam import op9_decontamination
+from .hyperminhash import op2_hyperminhash
 from .token_store import op1_token_ids
 
 Q = {
     "op1_token_ids": (op1_token_ids, None),
+    "op2_hyperminhash": (op2_hyperminhash, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
+    "op9_decontamination": (op9_decontamination, None),
 }
