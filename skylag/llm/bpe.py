@@ -31,15 +31,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame_schema, load_text, table
+from .common import frame_schema, load_text, small, table
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 SLICE = 1 << 20          # characters encoded at a time
-CACHE_PIECES = 1_200_000  # remembered pieces per worker
-CACHE_CHARS = 24_000_000
+CACHE_PIECES = 500_000    # remembered pieces per worker
+CACHE_CHARS = 16_000_000
 MAX_VOCAB_BYTES = 64 << 20
 
 
@@ -212,14 +212,19 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "i
 
     def run(batches):
         enc = encoder(code.value)
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column(text).to_pylist()]
             got = [enc.encode(t) for t in texts]
-            spans = [enc.offsets(t, g) for t, g in zip(texts, got, strict=True)]
-            new = {ids: pa.array(got, pa.binary()), "n_split": pa.array([s[2] for s in spans], pa.int32())}
+            split, starts, ends = [], [], []
+            for t, g in zip(texts, got, strict=True):
+                a, z, n = enc.offsets(t, g)
+                split.append(n)
+                if offsets:
+                    starts.append(a.astype("<i4").tobytes())
+                    ends.append(z.astype("<i4").tobytes())
+            new = {ids: pa.array(got, pa.binary()), "n_split": pa.array(split, pa.int32())}
             if offsets:
-                new |= {k: pa.array([s[j].astype("<i4").tobytes() for s in spans], pa.binary())
-                        for j, k in enumerate(("starts", "ends"))}
+                new |= {"starts": pa.array(starts, pa.binary()), "ends": pa.array(ends, pa.binary())}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(n) for n in names], names)
 
     return df.mapInArrow(run, schema)
@@ -234,7 +239,7 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "dec
 
     def run(batches):
         enc = encoder(code.value)
-        for b in batches:
+        for b in small(batches):
             got = pa.array([None if x is None else enc.decode(x) for x in b.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([got if n == out else b.column(n) for n in names], names)
 

@@ -18,6 +18,15 @@ def load_text(name: str) -> str:
         return f.read()
 
 
+def small(batches, most: int = 2 << 20):
+    """The batches cut into slices of about ``most`` bytes (one row at least),
+    so that what a task holds does not follow the session's batch size."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def frame_schema(df: DataFrame, added: str):
     """Schema of ``df`` with the ``added`` DDL columns behind it."""
     from pyspark.sql.types import StructType

@@ -23,6 +23,7 @@ the name of an output column is replaced).
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import frame_schema, table
+from .common import frame_schema, small, table
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
@@ -126,18 +127,19 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     return out
 
 
-_BUILT: dict[tuple, WuManber] = {}
+_BUILT: dict[str, WuManber] = {}  # the worker's tables, kept between tasks
 
 
 def _searcher(tables, text: str, width: int, names: list[str], more: bool):
+    key = uuid.uuid4().hex
+
     def run(batches):
-        key = (tables.id, width)
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = WuManber(tables.value, width)
         wm = _BUILT[key]
         number = wm.vocab.get
-        for b in batches:
+        for b in small(batches):
             counts, spans, items = [], [], []
             old = zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True) if more else None
             for t in b.column(text).to_pylist():
@@ -175,7 +177,7 @@ def verdicts(found: DataFrame) -> DataFrame:
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             items = b.column("items").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_words"),

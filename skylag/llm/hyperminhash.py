@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import connected_components, sized_broadcast, table
+from .common import connected_components, sized_broadcast, small, table
 
 BANDS, ROWS, MANTISSA = 56, 7, 10
 K = BANDS * ROWS
@@ -140,7 +140,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     """(doc_id, n_shingles, digest, regs, text) of every document."""
     def run(batches):
         cache = _WordHashes()
-        for b in batches:
+        for b in small(batches):
             n, digest, regs = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(words(t), shingle, cache)
@@ -170,7 +170,7 @@ def _confirm(pairs: DataFrame, full: DataFrame, shingle: int, percent: int) -> D
 
     def run(batches):
         last, of = None, None
-        for b in batches:
+        for b in small(batches):
             a, c, n1, n2, r1, r2, t1, t2 = (b.column(k) for k in ("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b",
                                                                    "text_a", "text_b"))
             keep = []

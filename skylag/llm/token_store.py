@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from .bpe import encoder, vocabulary_json
-from .common import table
+from .common import small, table
 
 MAGIC = b"TOKIDS01"
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 1500, 4096, 1 << 16
@@ -99,7 +99,7 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None =
         pack = zstandard.ZstdCompressor(level=LEVEL, **_zdict(shared.value))
         fs, root = _fs(path)
         name, out, index, at, start = f"part-{part:06d}-{uuid.uuid4().hex}.ids", None, [], 41, 0
-        for b in batches:
+        for b in small(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}")
@@ -167,7 +167,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         fs, root = _fs(path)
         with fs.open_input_stream(f"{root}/dictionary.zdict") as f:
             raw = f.read()
-        for b in batches:
+        for b in small(batches):
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = _Shard(fs, root, name, raw)
                 for at in range(0, len(s.index), 256):
