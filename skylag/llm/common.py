@@ -35,6 +35,15 @@ def frame_schema(df: DataFrame, added: str):
     return StructType(kept + list(extra.fields))
 
 
+def lowest(rows: DataFrame, n: int) -> list:
+    """About ``n`` rows (h, t) with the lowest hashes h, as a bounded sample
+    for a fit: only hashes are ranked, then the rows below the last one are
+    fetched (repeated hashes may add up to n more)."""
+    limit = rows.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    got = [] if limit is None else rows.where(F.col("h") <= limit).limit(2 * n).collect()
+    return sorted(got, key=lambda r: (r.h, r.t))
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``max_rows`` rows (a
     few long columns are meant), else as it is (the planner shuffles)."""

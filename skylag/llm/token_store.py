@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from .bpe import encoder, vocabulary_json
-from .common import small, table
+from .common import lowest, small, table
 
 MAGIC = b"TOKIDS01"
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 1500, 4096, 1 << 16
@@ -60,8 +60,8 @@ def _width(vocab_size: int) -> int:
 def train_dictionary(docs: DataFrame, tokenizer_json: str, width: int) -> bytes:
     """Dictionary from the bounded sample; empty if the sample is too small."""
     import zstandard
-    rows = (docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DICT_CHARS).alias("t"))
-            .where("t is not null").orderBy("h", "t").limit(DICT_DOCS).collect())
+    rows = lowest(docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DICT_CHARS).alias("t"))
+                  .where("t is not null"), DICT_DOCS)
     enc = encoder(tokenizer_json)
     samples = [_pack(enc.encode(r.t), width) for r in rows]
     try:
