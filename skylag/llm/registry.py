@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from .bpe import op5_byte_bpe
 from .decontam import op9_decontamination
+from .embed_dedup import op8_embedding_dedup
 from .hyperminhash import op2_hyperminhash
+from .langid import op6_language
+from .pii import op3_personal_data
 from .token_store import op1_token_ids
+from .toxicity import op4_toxicity
 
 Q = {
     "op1_token_ids": (op1_token_ids, None),
     "op2_hyperminhash": (op2_hyperminhash, None),
+    "op3_personal_data": (op3_personal_data, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
+    "op6_language": (op6_language, None),
+    "op8_embedding_dedup": (op8_embedding_dedup, None),
     "op9_decontamination": (op9_decontamination, None),
 }
