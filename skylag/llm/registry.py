@@ -7,6 +7,7 @@ from .decontam import op9_decontamination
 from .embed_dedup import op8_embedding_dedup
 from .hyperminhash import op2_hyperminhash
 from .langid import op6_language
+from .licenses import op10_licences, oracle_sql
 from .pii import op3_personal_data
 from .token_store import op1_token_ids
 from .toxicity import op4_toxicity
@@ -20,4 +21,5 @@ Q = {
     "op6_language": (op6_language, None),
     "op8_embedding_dedup": (op8_embedding_dedup, None),
     "op9_decontamination": (op9_decontamination, None),
+    "op10_licences": (op10_licences, oracle_sql()),
 }
