@@ -9,6 +9,7 @@ from .hyperminhash import op2_hyperminhash
 from .langid import op6_language
 from .licenses import op10_licences, oracle_sql
 from .pii import op3_personal_data
+from .rollup import op7_token_rollup
 from .token_store import op1_token_ids
 from .toxicity import op4_toxicity
 
@@ -19,6 +20,7 @@ Q = {
     "op4_toxicity": (op4_toxicity, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_language": (op6_language, None),
+    "op7_token_rollup": (op7_token_rollup, None),
     "op8_embedding_dedup": (op8_embedding_dedup, None),
     "op9_decontamination": (op9_decontamination, None),
     "op10_licences": (op10_licences, oracle_sql()),
