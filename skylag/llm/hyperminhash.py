@@ -13,13 +13,16 @@ sequence is one shingle; without words the set is empty.
 3. *Banding.* ``BANDS`` bands of ``ROWS`` registers; representatives that agree
    on a band share a bucket. A pair at similarity 0.8 misses every band with
    a probability of about 2e-6, which only falls above it.
-4. *Linking.* Pairs in a bucket are estimated (agreeing registers less the
+4. *Linking.* Pairs in a bucket whose sizes and one-bit signatures allow the
+   similarity are estimated from the registers (agreeing ones less the
    expected chance collisions) and then confirmed on the full sets. A group
-   of n near copies is not expanded into n*n pairs: each round compares a
-   bucket's members with one pivot, joins what is linked, and goes on with
-   members whose components still differ. When what is left is small, or
-   pivots join nothing more, every remaining cross-component pair of every
-   bucket is compared, so no link between components is lost.
+   of n near copies is not expanded into n*n pairs: a round compares a
+   bucket's members with one pivot and joins what is linked. When few pairs
+   of members outside the buckets' largest components are left, or another
+   round of pivots has not halved them, all of those are compared, and each
+   such member with the whole largest component, in blocks of ``BLOCK`` by
+   ``BLOCK`` documents that return links only. So every bucket pair of
+   different components is looked at, and no link between them is lost.
 
 Defined results: null, empty and blank texts have n_shingles 0 and are linked
 with nothing; repeated rows and rows with one doc_id count as one document
@@ -46,8 +49,12 @@ BANDS, ROWS, MANTISSA = 56, 7, 10
 K = BANDS * ROWS
 SIMILARITY = 80          # percent
 MARGIN = 5.0             # standard deviations an estimate may fall short by
-LEFT_PER_DOC = 4         # remaining pairs a document at which all are compared
+LEFT_PER_DOC = 16        # remaining bucket pairs a document at which all are looked at
 PIVOT_ROUNDS = 6
+BLOCK = 256              # documents on either side of a block comparison
+SIGNATURE = 6            # longs that hold one bit of each of 64 registers
+#: Differing bits of a pair at the threshold: their mean and MARGIN + 0.7 deviations more.
+FAR_BITS = int(64 * SIGNATURE * 0.1 + 5.7 * (64 * SIGNATURE * 0.1 * 0.9) ** 0.5)
 _M = (1 << 64) - 1
 
 
@@ -122,6 +129,14 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature(regs: np.ndarray) -> np.ndarray:
+    """One hashed bit of each of the first registers, as int64."""
+    with np.errstate(over="ignore"):
+        h = _mix(regs[:64 * SIGNATURE].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                 + np.arange(64 * SIGNATURE, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return np.packbits((h & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def chance_collisions(n1: int, n2: int) -> float:
     """Expected share of registers that agree although the minima differ
     (two sets of about n1 and n2 elements; the published approximation)."""
@@ -137,21 +152,38 @@ def estimate(a: np.ndarray, b: np.ndarray, n1: int, n2: int) -> float:
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, digest, regs, text) of every document."""
+    """(doc_id, n_shingles, digest, regs, sig, text) of every document."""
     def run(batches):
         cache = _WordHashes()
         for b in small(batches):
-            n, digest, regs = [], [], []
+            n, digest, regs, sig = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(words(t), shingle, cache)
                 n.append(len(h))
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                regs.append(registers(h).tobytes() if len(h) else None)
+                r = registers(h)
+                regs.append(r.tobytes() if len(h) else None)
+                sig.append(signature(r) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                                              pa.array(regs, pa.binary()), b.column(1)],
-                                             ["doc_id", "n_shingles", "digest", "regs", "text"])
+                                              pa.array(regs, pa.binary()), pa.array(sig, pa.list_(pa.int64())), b.column(1)],
+                                             ["doc_id", "n_shingles", "digest", "regs", "sig", "text"])
     return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-            .mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary, text string"))
+            .mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary, sig array<long>, text string"))
+
+
+def _low(percent: int) -> float:
+    """Least estimate of a pair that is compared in full."""
+    return percent / 100 - MARGIN * float(np.sqrt(percent / 100 * (1 - percent / 100) / K))
+
+
+def _sets(text: str, shingle: int) -> set:
+    ws = words(text)
+    return {tuple(ws)} if len(ws) < shingle else set(zip(*(ws[k:] for k in range(shingle)), strict=False))
+
+
+def _similar(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _confirm(pairs: DataFrame, full: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -160,13 +192,8 @@ def _confirm(pairs: DataFrame, full: DataFrame, shingle: int, percent: int) -> D
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     some = full.join(sized_broadcast(ids), "doc_id", "left_semi").select("doc_id", "n_shingles", "regs", "text")
     side = lambda k: some.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n_shingles", "regs", "text")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        f"least(n_shingles_a, n_shingles_b) * 100 >= greatest(n_shingles_a, n_shingles_b) * {percent}")
-    low = percent / 100 - MARGIN * np.sqrt(percent / 100 * (1 - percent / 100) / K)
-
-    def sets(text):
-        ws = words(text)
-        return {tuple(ws)} if len(ws) < shingle else set(zip(*(ws[k:] for k in range(shingle)), strict=False))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    low = _low(percent)
 
     def run(batches):
         last, of = None, None
@@ -179,10 +206,8 @@ def _confirm(pairs: DataFrame, full: DataFrame, shingle: int, percent: int) -> D
                 if estimate(x, y, n1[i].as_py(), n2[i].as_py()) < low:
                     continue
                 if last != (one := t1[i].as_py()):
-                    last, of = one, sets(one)
-                other = sets(t2[i].as_py())
-                both = len(of & other)
-                if 100 * both >= percent * (len(of) + len(other) - both):
+                    last, of = one, _sets(one, shingle)
+                if _similar(of, _sets(t2[i].as_py(), shingle), percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), c.take(pa.array(keep, pa.int64()))], ["a", "b"])
 
@@ -203,29 +228,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")
     keys = reps.select("doc_id", F.explode(key).alias("key"))
     many = Window.partitionBy("key")
-    buckets = materialize(keys.withColumn("lo", F.min("doc_id").over(many)).withColumn("hi", F.max("doc_id").over(many))
-                          .where("lo <> hi").select("key", F.col("doc_id").alias("id")).distinct(), "hmh-buckets")
+    pooled = (keys.withColumn("lo", F.min("doc_id").over(many)).withColumn("hi", F.max("doc_id").over(many))
+              .where("lo <> hi").select("key", F.col("doc_id").alias("id")).distinct())
+    marks = reps.select(F.col("doc_id").alias("id"), F.struct("n_shingles", *[F.col("sig")[i].alias(f"s{i}") for i in range(SIGNATURE)]).alias("mark"))
+    buckets = materialize(pooled.join(marks, "id"), "hmh-buckets")
     n_docs = max(1, sets.count())
     links, done, comp, before = [], None, None, None
     for rnd in range(PIVOT_ROUNDS + 1):
-        mixed = _mixed(buckets, comp, rnd)
-        left = mixed.groupBy("key").agg(F.count("*").alias("n"), F.first("n_minor").alias("m")).agg(
-            F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
-        if left == 0:
+        mixed = materialize(_mixed(buckets, comp, rnd), "hmh-mixed")
+        some, left = mixed.where("comp <> major").agg(F.count("*"), F.coalesce(F.sum("n_minor"), F.lit(0))).first()
+        if some == 0:
             break
-        last = rnd > 0 and (left <= LEFT_PER_DOC * n_docs or left == before) or rnd == PIVOT_ROUNDS
-        pairs = _cross(mixed) if last else mixed.where("comp <> pivot_comp").select(F.least("id", "pivot").alias("a"),
-                                                                                   F.greatest("id", "pivot").alias("b"))
+        last = rnd > 0 and (left <= LEFT_PER_DOC * n_docs or left > before / 2) or rnd == PIVOT_ROUNDS
+        if last:
+            pairs = _cross(mixed, percent)
+        else:
+            pairs = mixed.where(F.col("comp") != F.col("pivot.comp")).where(_near("mark", "pivot.mark", percent)).select(
+                F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "hmh-pairs")
         done = pairs if done is None else done.union(pairs)
-        links.append(materialize(_confirm(pairs, full, shingle, percent), "hmh-links"))
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
-        comp = materialize(connected_components(every), "hmh-comp")
+        new = _confirm(pairs, full, shingle, percent)
+        if last and comp is not None:
+            new = new.union(_against_components(mixed, comp, full, shingle, percent))
+        new = materialize(new, "hmh-links")
+        links.append(new)
+        if not new.isEmpty():
+            every = links[0]
+            for x in links[1:]:
+                every = every.union(x)
+            comp = connected_components(every)
         if last:
             break
         before = left
@@ -235,8 +269,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if comp is None:
         comp = member.limit(0).select(F.col("doc_id").alias("id"), F.col("rep").alias("component"))
     if not shared.isEmpty():
-        comp = materialize(connected_components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(own)),
-                           "hmh-comp")
+        comp = connected_components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(own))
     least = (member.join(comp, F.col("rep") == F.col("id"), "left").groupBy("doc_id")
              .agg(F.min(F.coalesce("component", "rep")).alias("component")))
     return (lean.join(least, "doc_id", "left")
@@ -244,32 +277,87 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
+def _near(x: str, y: str, percent: int):
+    """Condition that a pair's set sizes allow the similarity and that their
+    signatures differ in no more bits than a pair at the threshold may."""
+    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    far = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SIGNATURE)), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (far <= FAR_BITS)
+
+
 def _mixed(buckets: DataFrame, comp: DataFrame | None, rnd: int) -> DataFrame:
     """Members of the buckets that hold several components, with the bucket's
-    pivot of this round, and the members outside its largest component."""
+    pivot of this round, its largest component and the number of members
+    outside that."""
     if comp is None:
         own = buckets.withColumn("comp", F.col("id"))
     else:
         own = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    key = Window.partitionBy("key")
-    order = F.struct((F.col("id") if rnd == 0 else F.xxhash64("id", F.lit(rnd))).alias("rank"), F.col("id"), F.col("comp"))
-    rows = (own.withColumn("lo", F.min("comp").over(key)).withColumn("hi", F.max("comp").over(key)).where("lo <> hi")
-            .withColumn("n", F.count("*").over(key)).withColumn("p", F.min(order).over(key)))
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(
-        F.max(F.struct("k", "comp")).alias("most"))
-    return (rows.join(sizes, "key").select("key", "id", "comp", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"),
-                                           F.col("most.comp").alias("major"), (F.col("n") - F.col("most.k")).alias("n_minor")))
-
-
-def _cross(mixed: DataFrame) -> DataFrame:
-    """All pairs of members of different components in a bucket; each has a
-    member outside the bucket's largest component."""
-    m = mixed.select("key", "id", "comp", "major")
-    minor = m.where("comp <> major").select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    return (m.join(minor, "key").where("comp <> comp2 and (comp = major or id < id2)")
+    rank = (F.col("id") if rnd == 0 else F.xxhash64("id", F.lit(rnd))).alias("rank")
+    per = own.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min(F.struct(rank, "id", "comp", "mark")).alias("p"))
+    per = (per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("k").alias("n"), F.min("p").alias("pivot"),
+                                  F.max(F.struct("k", "comp")).alias("most")).where("comps > 1"))
+    return own.join(per, "key").select("key", "id", "comp", "mark", "pivot", F.col("most.comp").alias("major"),
+                                       (F.col("n") - F.col("most.k")).alias("n_minor"), F.col("most.k").alias("n_major"))
+
+
+def _cross(mixed: DataFrame, percent: int) -> DataFrame:
+    """Near pairs of a bucket's members outside its largest component, and of
+    these with that component where it is a single document."""
+    minor = mixed.where("comp <> major").select("key", "id", "comp", "mark")
+    other = mixed.where("comp <> major or n_major = 1").select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"),
+                                                               F.col("mark").alias("mark2"))
+    return (minor.join(other, "key").where("comp <> comp2").where(_near("mark", "mark2", percent))
             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")))
 
 
+def _against_components(mixed: DataFrame, comp: DataFrame, full: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """A link of each document that is near a member of its bucket's largest
+    component, of several documents, to that component, if there is one. The
+    component is compared in blocks, whole; only the links are returned."""
+    minor = mixed.where("comp <> major and n_major > 1")
+    other = mixed.where("comp = major and n_major > 1").select(F.col("key").alias("k"), F.col("mark").alias("mark2"))
+    one = (minor.join(other, (F.col("key") == F.col("k")) & _near("mark", "mark2", percent), "left_semi")
+           .select(F.col("id").alias("x"), F.col("major").alias("c")).distinct())
+    one = materialize(one, "hmh-single")
+    sizes = (comp.groupBy(F.col("component").alias("c")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+             .join(one.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nx")), "c"))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = (one.join(sizes, "c").withColumn("xb", F.pmod(F.xxhash64("x"), "nx").cast("int")).withColumn("cb", steps("m"))
+         .select("c", "cb", "xb", F.col("x").alias("doc_id"), F.lit(True).alias("single")))
+    y = (comp.select(F.col("component").alias("c"), "id").join(sizes, "c").withColumn("cb", F.pmod(F.xxhash64("id"), "m").cast("int"))
+         .withColumn("xb", steps("nx")).select("c", "cb", "xb", F.col("id").alias("doc_id"), F.lit(False).alias("single")))
+    rows = materialize(x.union(y), "hmh-blocks")
+    ids = sized_broadcast(rows.select("doc_id").distinct())
+    both = rows.join(full.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "regs", "text").where("regs is not null"), "doc_id")
+    low = _low(percent)
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, single = np.asarray(group["doc_id"]), np.asarray(group["single"])
+        n, texts = np.asarray(group["n_shingles"]), group["text"]
+        regs = np.frombuffer(b"".join(group["regs"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        rest, known, a, b = np.flatnonzero(~single), {}, [], []
+        for i in np.flatnonzero(single):
+            same = (regs[rest] == regs[i]).mean(1) if len(rest) else np.empty(0)
+            mine = None
+            for k in np.argsort(-same, kind="stable"):
+                if same[k] < low:
+                    break
+                j = rest[k]
+                if estimate(regs[i], regs[j], int(n[i]), int(n[j])) < low:
+                    continue
+                mine = mine if mine is not None else _sets(texts[int(i)].as_py(), shingle)
+                if j not in known:
+                    known[j] = _sets(texts[int(j)].as_py(), shingle)
+                if _similar(mine, known[j], percent):
+                    a.append(ids[i])
+                    b.append(ids[j])
+                    break
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return both.groupBy("c", "cb", "xb").applyInArrow(run, "a long, b long")
+
+
 def op2_hyperminhash(spark, sf_dir: str) -> DataFrame:
     """All documents; two-word shingles, similarity of at least 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"))
