@@ -147,7 +147,7 @@ def _searcher(tables, text: str, width: int, names: list[str], more: bool):
                 hits, found = wm.search(list(map(number, ws)))
                 if old is not None:
                     was, names_ = next(old)
-                    hits += np.frombuffer(was, "<i4").reshape(-1, 2).tolist()
+                    hits += map(tuple, np.frombuffer(was, "<i4").reshape(-1, 2).tolist())
                     found |= set(names_)
                 counts.append(len(ws))
                 spans.append(_merged(hits))
