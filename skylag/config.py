@@ -84,6 +84,7 @@ SLOT_FIELDS = [
 ]
 # earth radius in miles of the great-circle distance
 EARTH_RADIUS_MILES = 3958.8
+ENTITY_MAX_BYTES = 64 << 20    # vectors of a broadcast entity table
 SESSION_HISTORY = 30          # messages kept per session
 SEARCH_K = 5                  # neighbours returned by vector search
 TOP_ROUTES = 20               # routes shown in the route table

@@ -159,9 +159,8 @@ def norm_code(c) -> Column:
 
 
 # F14
-def airport_text(code="IATA_CODE", name="AIRPORT", city="CITY", state="STATE", country="COUNTRY") -> Column:
-    return F.format_string("Airport %s: %s, located in %s, %s, %s",
-                           col(code), col(name), col(city), col(state), col(country))
+def airport_text(code="IATA_CODE", name="AIRPORT", city="CITY", country="COUNTRY") -> Column:
+    return F.format_string("Airport %s: %s, %s, %s", col(code), col(name), col(city), col(country))
 
 
 def airline_text(code="IATA_CODE", name="AIRLINE") -> Column:
@@ -252,12 +251,19 @@ def prediction_report(origin_name, origin_code, dest_name, dest_code, airline_na
 
 
 # F26
-def reply_fallback(report, missing) -> Column:
-    """Prediction text first, else the missing-field list, else a default."""
-    return (F.when(col(report).isNotNull(), col(report))
-             .when(F.size(col(missing)) > 0,
-                   F.concat(F.lit("Missing information: "), F.array_join(col(missing), ", ")))
-             .otherwise(F.lit("All information collected.")))
+# fixed values: the three texts
+REPLY_PREDICTED = "Prediction complete: delay probability %s%%."
+REPLY_MISSING = "To complete the prediction, I still need: %s."
+REPLY_DEFAULT = "How can I help you predict your flight delay?"
+
+
+def reply_fallback(prob, missing) -> Column:
+    """The last prediction (percent, one decimal, half-even) if there is one,
+    whatever is missing; else the missing-field list; else a default."""
+    pct = F.bround(col(prob) * 100, 1).cast("string")
+    return (F.when(col(prob).isNotNull(), F.format_string(REPLY_PREDICTED, pct))
+             .when(F.size(col(missing)) > 0, F.format_string(REPLY_MISSING, F.array_join(col(missing), ", ")))
+             .otherwise(F.lit(REPLY_DEFAULT)))
 
 
 # P12

@@ -5,7 +5,7 @@ no task holds more than a bounded block: the query side is split into
 chunks of at most ``max_queries`` vectors, each chunk is shipped to the
 executors as a broadcast variable (size checked by construction), and every
 corpus partition keeps only its local top-k per query (``mapInArrow`` with
-NumPy blocks). A final ``row_number() <= k`` per query merges the partial
+NumPy blocks, one result per partition). A final ``row_number() <= k`` per query merges the partial
 winners, so the shuffle carries k rows per query per corpus partition, not
 all pairs.
 """
@@ -24,6 +24,7 @@ from ..functions import exprs as X
 from .lookups import sized
 
 _BLOCK = 256
+_DIFF_CELLS = 4 << 20   # doubles in a block of differences
 
 
 def entity_documents(airports: DataFrame, airlines: DataFrame) -> DataFrame:
@@ -33,68 +34,93 @@ def entity_documents(airports: DataFrame, airlines: DataFrame) -> DataFrame:
         X.airport_text().alias("text"),
         F.struct(F.lit("airport").alias("type"), F.col("IATA_CODE").alias("code"),
                  F.col("AIRPORT").alias("name"), F.col("CITY").alias("city"),
-                 F.col("STATE").alias("state"), F.col("COUNTRY").alias("country")).alias("metadata"))
+                 F.col("COUNTRY").alias("country")).alias("metadata"))
     al = airlines.select(
         F.concat(F.lit("airline:"), F.col("IATA_CODE")).alias("doc_id"),
         X.airline_text().alias("text"),
         F.struct(F.lit("airline").alias("type"), F.col("IATA_CODE").alias("code"),
                  F.col("AIRLINE").alias("name"), F.lit(None).cast("string").alias("city"),
-                 F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("country")
-                 ).alias("metadata"))
+                 F.lit(None).cast("string").alias("country")).alias("metadata"))
     return ap.unionByName(al)
 
 
-def _local_topk(qids, qmat, k, metric, cid, cvec):
-    """Per-partition task (``mapInArrow``): local top-k of every query
-    against the rows of one corpus partition. The vector column is
-    flattened zero-copy into a matrix; selection is vectorised, and only
-    rows with ties at the k-th distance take the exact (distance, id)
-    ordering row by row. Self-contained (NumPy/pyarrow only), so it ships
-    to the Python workers by value."""
+def _distances(q, x, metric):
+    """Distances of the rows of ``q`` to the rows of ``x`` (double precision)."""
+    if metric == "cosine":
+        norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+        return 1.0 - (q @ x.T) / np.maximum(norms, 1e-300)
+    out = np.empty((len(q), len(x)))
+    step = max(1, _DIFF_CELLS // max(1, len(q) * q.shape[1]))
+    for t in range(0, len(x), step):  # differences, not the expanded square: equal distances stay equal
+        d = q[:, None, :] - x[None, t:t + step, :]
+        out[:, t:t + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+    return out
+
+
+def _smallest(dist, ids, k):
+    """Per row the k smallest (distance, id), unordered: (distances, ids)."""
+    if dist.shape[1] <= k:
+        return dist, ids
+    kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+    mask = dist <= kth
+    for r in np.flatnonzero(mask.sum(axis=1) > k):  # ties at the k-th distance: lowest ids
+        cand = np.flatnonzero(mask[r])
+        mask[r, cand[np.lexsort((ids[r, cand], dist[r, cand]))[k:]]] = False
+    at = np.nonzero(mask)[1].reshape(len(dist), k)
+    return np.take_along_axis(dist, at, 1), np.take_along_axis(ids, at, 1)
+
+
+def _matrix(column):
+    """A vector column as a matrix (copied to doubles)."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _local_topk(shared, k, metric, cid, cvec):
+    """Per-partition task (``mapInArrow``): the k nearest rows of one corpus
+    partition for every query of a broadcast block. The running best is
+    merged over the Arrow batches and returned once per partition."""
     import pyarrow as pa
-    block = _BLOCK
-
-    def distances(q, x, qn, xn):
-        if metric == "cosine":
-            return 1.0 - (q @ x.T) / np.maximum(np.outer(qn, xn), 1e-300)
-        d = q[:, None, :] - x[None, :, :]
-        return np.sqrt(np.einsum("ijk,ijk->ij", d, d))
 
     def fn(batches):
-        qn = np.linalg.norm(qmat, axis=1) if metric == "cosine" else None
-        dim = qmat.shape[1]
+        qids, qmat = shared.value
+        best_d, best_i = np.empty((len(qids), 0)), np.empty((len(qids), 0), np.int64)
         for rb in batches:
-            n = rb.num_rows
-            if n == 0:
+            if not rb.num_rows:
                 continue
-            ids = rb.column(cid).to_numpy(zero_copy_only=False)
-            xm = rb.column(cvec).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
-            xn = np.linalg.norm(xm, axis=1) if metric == "cosine" else None
-            out_q, out_c, out_d = [], [], []
-            kk = min(k, n)
-            for s in range(0, len(qmat), block):
-                qb = qmat[s:s + block]
-                qnb = qn[s:s + block] if qn is not None else None
-                dist = np.concatenate([
-                    distances(qb, xm[t:t + block], qnb, xn[t:t + block] if xn is not None else None)
-                    for t in range(0, n, block)], axis=1)
-                kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
-                mask = dist <= kth[:, None]
-                cnt = mask.sum(axis=1)
-                plain = cnt == kk                     # no tie at the boundary: exactly k candidates
-                r, c = np.nonzero(mask & plain[:, None])
-                out_q.append(qids[s + r])
-                out_c.append(ids[c])
-                out_d.append(dist[r, c])
-                for rr in np.nonzero(~plain)[0]:      # ties at the k-th distance: exact (distance, id) order
-                    cand = np.nonzero(mask[rr])[0]
-                    order = cand[np.lexsort((ids[cand], dist[rr, cand]))][:kk]
-                    out_q.append(np.full(len(order), qids[s + rr]))
-                    out_c.append(ids[order])
-                    out_d.append(dist[rr, order])
+            ids, x = rb.column(cid).to_numpy(zero_copy_only=False), _matrix(rb.column(cvec))
+            new_d, new_i = [], []
+            for s in range(0, len(qids), _BLOCK):
+                d = np.concatenate([best_d[s:s + _BLOCK], _distances(qmat[s:s + _BLOCK], x, metric)], axis=1)
+                i = np.concatenate([best_i[s:s + _BLOCK], np.broadcast_to(ids, (len(d), len(ids)))], axis=1)
+                d, i = _smallest(d, i, k)
+                new_d.append(d)
+                new_i.append(i)
+            best_d, best_i = np.concatenate(new_d), np.concatenate(new_i)
+        if best_d.size:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_c).astype(np.int64)),
-                 pa.array(np.concatenate(out_d), pa.float64())], names=["query_id", "match_id", "distance"])
+                [pa.array(np.repeat(qids, best_d.shape[1]), pa.int64()), pa.array(best_i.ravel().astype(np.int64)),
+                 pa.array(best_d.ravel(), pa.float64())], names=["query_id", "match_id", "distance"])
+    return fn
+
+
+def _entity_topk(shared, k, metric, qid, qvec):
+    """Per-batch task (``mapInArrow``): the k nearest of a small broadcast
+    table for every row of a large one; nothing is shuffled or collected."""
+    import pyarrow as pa
+
+    def fn(batches):
+        ids, mat = shared.value
+        for rb in batches:
+            for at in range(0, rb.num_rows, _BLOCK):
+                part = rb.slice(at, _BLOCK)
+                d = _distances(_matrix(part.column(qvec)), mat, metric)
+                d, i = _smallest(d, np.broadcast_to(ids, d.shape), k)
+                order = np.lexsort((i, d), axis=1)
+                d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column(qid).to_numpy(zero_copy_only=False), d.shape[1]), pa.int64()),
+                     pa.array(i.ravel().astype(np.int64)), pa.array(d.ravel(), pa.float64())],
+                    names=["query_id", "match_id", "distance"])
     return fn
 
 
@@ -102,7 +128,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k=C.SEARCH_K, metric="l2", qid="q
         cid="vec_id", cvec="embedding", max_queries=4096) -> DataFrame:
     """J7 + T6 / R2: exact top-k neighbours of every query in the corpus.
 
-    Output (query_id, match_id, distance, rank); ties broken by match id.
+    The queries are a stated set (one block of at most ``max_queries`` is on
+    the driver at a time); for a large query side against few rows see
+    ``nearest_entities``. Output (query_id, match_id, distance, rank); ties
+    broken by match id.
     ``metric``: 'l2' (Euclidean) or 'cosine' (1 - cosine similarity)."""
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
@@ -123,9 +152,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k=C.SEARCH_K, metric="l2", qid="q
             continue
         qids = np.array([int(r[0]) for r in rows], dtype=np.int64)
         qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        fn = _local_topk(bq.value[0], bq.value[1], k, metric, cid, cvec)
-        parts.append(corpus_ids.mapInArrow(fn, schema))
+        block = spark.sparkContext.broadcast((qids, qmat))
+        parts.append(corpus_ids.mapInArrow(_local_topk(block, k, metric, cid, cvec), schema))
     if not parts:
         return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
     cand = parts[0]
@@ -135,22 +163,41 @@ def knn(queries: DataFrame, corpus: DataFrame, k=C.SEARCH_K, metric="l2", qid="q
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def name_vectors(df: DataFrame, text: str, idf_source: DataFrame, num_features=1024, out="vec",
-                 idf_text: str | None = None):
-    """Character-trigram TF-IDF vectors (hashing trick), IDF fitted on the
-    entity names; returned as dense float arrays for ``knn``."""
+def nearest_entities(rows: DataFrame, entities: DataFrame, k=C.SEARCH_K, metric="cosine", qid="query_id",
+                     qvec="query_vec", eid="entity_id", evec="embedding", max_bytes=C.ENTITY_MAX_BYTES) -> DataFrame:
+    """Top-k entities of every row of a large side. The entities are broadcast
+    if their vectors take at most ``max_bytes``; beyond that the rows go block
+    by block through ``knn``. Output (query_id, match_id, distance)."""
+    n = entities.count()
+    first = entities.select(F.size(evec)).first()
+    if not first or n * first[0] * 8 > max_bytes:
+        return knn(rows, entities, k=k, metric=metric, qid=qid, qvec=qvec, cid=eid, cvec=evec).drop("rank")
+    small = entities.select(F.col(eid).cast("long"), evec).collect()
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (np.array([r[0] for r in small], dtype=np.int64), np.array([r[1] for r in small], dtype=np.float64)))
+    return rows.select(F.col(qid).cast("long").alias(qid), qvec).mapInArrow(
+        _entity_topk(shared, k, metric, qid, qvec), "query_id long, match_id long, distance double")
+
+
+def fit_name_vectors(entities: DataFrame, text: str, num_features=1024):
+    """Character-trigram TF-IDF (hashing trick), IDF fitted once on the entity
+    names. Returns f(df, text, out) that adds dense float vectors; a null
+    name counts as empty."""
     from pyspark.ml.feature import HashingTF, IDF, NGram
     from pyspark.ml.functions import vector_to_array
-
-    def chars(d, c=text):
-        padded = F.concat(F.lit("  "), F.lower(F.col(c)), F.lit(" "))
-        return d.withColumn("_chars", F.filter(F.split(padded, ""), lambda ch: F.length(ch) > 0))
     ng = NGram(n=3, inputCol="_chars", outputCol="_grams")
     tf = HashingTF(numFeatures=num_features, inputCol="_grams", outputCol="_tf")
-    src = chars(idf_source, idf_text or text)
-    idf_model = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf.transform(ng.transform(src)))
-    v = idf_model.transform(tf.transform(ng.transform(chars(df))))
-    return v.withColumn(out, vector_to_array("_tfidf", "float32")).drop("_chars", "_grams", "_tf", "_tfidf")
+
+    def counts(d, c):
+        padded = F.concat(F.lit("  "), F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(" "))
+        chars = d.withColumn("_chars", F.filter(F.split(padded, ""), lambda ch: F.length(ch) > 0))
+        return tf.transform(ng.transform(chars))
+    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts(entities, text))
+
+    def apply(df, c, out):
+        v = idf.transform(counts(df, c))
+        return v.withColumn(out, vector_to_array("_tfidf", "float32")).drop("_chars", "_grams", "_tf", "_tfidf")
+    return apply
 
 
 def resolve_names(names: DataFrame, entities: DataFrame, name_col="name", id_col="name_id",
@@ -158,28 +205,30 @@ def resolve_names(names: DataFrame, entities: DataFrame, name_col="name", id_col
     """Text -> entity. An exact (upper-cased) code match wins; otherwise
     the best cosine match of character-trigram TF-IDF vectors, with
     Levenshtein distance to the entity name as the tie-break. Also returns
-    the top-k candidate codes."""
+    the top-k candidate codes. The names stay distributed; only the entities
+    are broadcast. A null name gets a null code, match and candidates."""
     ents = entities.select(F.col(ent_id).cast("long").alias("entity_id"), F.col(ent_code).alias("code"),
                            F.col(ent_name).alias("entity_name"))
-    ev = name_vectors(ents, "entity_name", ents, out="embedding")
-    qv = name_vectors(names.select(F.col(id_col).cast("long").alias("query_id"), F.col(name_col).alias("name")),
-                      "name", ents, out="query_vec", idf_text="entity_name")
-    nn = knn(qv, ev, k=k, metric="cosine", cid="entity_id", cvec="embedding")
+    vectors = fit_name_vectors(ents, "entity_name")
+    every = names.select(F.col(id_col).cast("long").alias("query_id"), F.col(name_col).alias("name"))
+    nn = nearest_entities(vectors(every.where("name is not null"), "name", "query_vec"),
+                          vectors(ents, "entity_name", "embedding"), k=k)
     # many queries may pick the same entity: attach entity fields by a
     # size-checked broadcast, not a shuffle keyed by the (possibly hot) entity
     n_ents = ents.count()
     nn = nn.join(sized(ents.select(F.col("entity_id").alias("match_id"), "code", "entity_name"), n_ents), "match_id")
-    nn = nn.join(qv.select("query_id", "name"), "query_id")
+    nn = every.join(nn, "query_id", "left")
     nn = nn.withColumn("lev", F.levenshtein(F.lower("name"), F.lower("entity_name")))
     w = Window.partitionBy("query_id").orderBy("distance", "lev", "code")
     ranked = nn.withColumn("_r", F.row_number().over(w))
     top = ranked.groupBy("query_id", "name").agg(
         F.min_by("code", "_r").alias("best_code"), F.min_by("distance", "_r").alias("best_distance"),
         F.sort_array(F.collect_list(F.struct("_r", "code"))).alias("_cands"))
-    top = top.withColumn("candidates", F.transform("_cands", lambda s: s["code"])).drop("_cands")
+    top = top.withColumn("candidates", F.when(F.col("name").isNotNull(), F.transform("_cands", lambda s: s["code"]))).drop("_cands")
     exact = ents.select(F.upper("code").alias("_ucode"), F.col("code").alias("exact_code"))
     top = top.join(sized(exact, n_ents), F.upper(F.col("name")) == F.col("_ucode"), "left")
     return top.select(F.col("query_id").alias(id_col), "name",
                       F.coalesce("exact_code", "best_code").alias("code"),
-                      F.when(F.col("exact_code").isNotNull(), F.lit("exact")).otherwise(F.lit("similarity")).alias("match"),
+                      F.when(F.col("exact_code").isNotNull(), F.lit("exact"))
+                      .when(F.col("name").isNotNull(), F.lit("similarity")).alias("match"),
                       "best_distance", "candidates")

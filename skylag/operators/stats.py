@@ -119,7 +119,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
         df = materialize(df, "prefix-input")
         fr = [i / buckets for i in range(1, buckets)]
         row = df.agg(F.percentile_approx(v, fr, 10000)).first()
-        cuts = sorted({c for c in (row[0] or []) if c is not None})
+        cuts = sorted({c for c in (row[0] or []) if c is not None and c == c})
     else:
         cuts = []   # caller guarantees a bounded input (one range)
     order = v.desc() if descending else v.asc()
@@ -131,15 +131,9 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
         return df.select(*df.columns, F.lit(0).alias("_bucket"), *[
             F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"cum_{c}") for c in sum_cols], *[
             F.sum(c).over(wall).alias(f"tot_{c}") for c in sum_cols])
-    if len(cuts) <= 256:
-        t = df.withColumn("_bucket", _bucket_of(v, cuts).cast("int"))
-    else:
-        # many cut points: JVM binary search per row (Bucketizer) instead of a huge expression
-        from pyspark.ml.feature import Bucketizer
-        splits = [float("-inf")] + [float(c) for c in cuts] + [float("inf")]
-        t = (Bucketizer(splits=splits, inputCol="_bv", outputCol="_bk")
-             .transform(df.withColumn("_bv", v.cast("double")))
-             .withColumn("_bucket", F.col("_bk").cast("int")).drop("_bv", "_bk"))
+    # one binary search of comparisons, whatever the number of cut points: NaN is
+    # above every number, infinities are ordinary values
+    t = df.withColumn("_bucket", _bucket_of(v, cuts).cast("int"))
     if descending:
         t = t.withColumn("_bucket", F.lit(len(cuts)) - F.col("_bucket"))
     totals = t.groupBy(*parts, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
@@ -158,6 +152,9 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols, descending=False, parti
         *[f"tot_{c}" for c in sum_cols])
 
 
+BOUNDED_VALUES = 100_000
+
+
 def exact_quantiles(df: DataFrame, c: str, probs, by=(), bounded: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/quantile_cont).
 
@@ -166,12 +163,20 @@ def exact_quantiles(df: DataFrame, c: str, probs, by=(), bounded: bool = False)
     total ``n``. The value at 0-based rank r is the smallest value with
     ``cum > r``, so every wanted rank is one ``min(when(cum > r, v))`` in a
     single (partially aggregated) group-by. Output: (*by, p, value).
-    ``bounded=True`` is for inputs with a proven small number of distinct
-    values (e.g. one row per airport code): one range, no cut-point pass.
+    ``bounded=True`` is for inputs that should have few distinct values
+    (e.g. one row per airport code): one range, no cut-point pass, if there
+    are at most ``BOUNDED_VALUES``. Rows with a null value or group are left
+    out; NaN is the largest value.
     """
     by = list(by)
     probs = [float(p) for p in probs]
-    vc = (df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_cnt")))
+    keep = F.col(c).isNotNull()
+    for b in by:  # a null group has no quantiles, in either path
+        keep = keep & F.col(b).isNotNull()
+    vc = df.filter(keep).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_cnt"))
+    if bounded:  # a promise of the caller, checked: one range holds few values only
+        vc = materialize(vc, "value-counts")
+        bounded = vc.limit(BOUNDED_VALUES + 1).count() <= BOUNDED_VALUES
     cum = prefix_sums(vc, c, ["_cnt"], partition_cols=by, buckets=1 if bounded else None)
     n, cm, v = F.col("tot__cnt"), F.col("cum__cnt"), F.col(c).cast("double")
     aggs = []

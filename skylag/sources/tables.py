@@ -74,26 +74,22 @@ def path_size(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
-SPREAD_MIN_BYTES = 4 << 20
+SPREAD_BYTES, SPREAD_LEAST = 32 << 20, 8
 
 
-def spread(df: DataFrame, size_bytes: int, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Input-parallelism guard for data that is read many times (model
-    training): a non-trivial input that yields fewer scan splits than the
-    cluster has cores (e.g. one large Parquet row group) is spread
-    round-robin over ``defaultParallelism`` partitions. On real inputs
-    (many files/row groups) this is a no-op, so it never adds a shuffle at
-    scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if size_bytes >= min_bytes and df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+def spread(df: DataFrame, size_bytes: int, per_partition: int = SPREAD_BYTES) -> DataFrame:
+    """Layout of data that is read many times (model training): rows are dealt
+    by their hash over one partition per ``per_partition`` stored bytes, 8 at
+    least. A fixed rule of the data alone, so that a fitted model does not
+    depend on the number of cores or on how the files were cut."""
+    n = max(SPREAD_LEAST, -(-size_bytes // per_partition))
+    return df.repartition(n, F.xxhash64(*df.columns))
 
 
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """One driver table with its explicit schema."""
     path = f"{data_dir.rstrip('/')}/{name}.parquet"
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
+    return _nan_to_null(spark.read.schema(TABLE_SCHEMAS[name]).parquet(path))
 
 
 def load_raw_tables(spark: SparkSession, data_dir: str, names) -> dict[str, DataFrame]:

@@ -92,9 +92,9 @@ def test_bround_half_even(spark):
 def test_missing_fields_and_reply(spark):
     df = rows(spark, [(1, None, "x"), (1, 2, "y")], "a int, b int, c string")
     out = df.select(X.missing_fields(["a", "b", "c"]).alias("m")).withColumn(
-        "reply", X.reply_fallback(F.lit(None).cast("string"), "m")).collect()
-    assert out[0]["m"] == ["b"] and out[0]["reply"] == "Missing information: b"
-    assert out[1]["m"] == [] and out[1]["reply"] == "All information collected."
+        "reply", X.reply_fallback(F.lit(None).cast("double"), "m")).collect()
+    assert out[0]["m"] == ["b"] and out[0]["reply"] == "To complete the prediction, I still need: b."
+    assert out[1]["m"] == [] and out[1]["reply"] == "How can I help you predict your flight delay?"
 
 
 def test_json_parse_tolerates_bad_records(spark):
