@@ -94,5 +94,6 @@ TOP_IMPORTANCES = 15
 # --- end of fixed values ----------------------------------------------------
 
 # Scale knobs (ours, not the reference's).
-BROADCAST_MAX_ROWS = 2_000_000   # fitted lookup tables up to this size are broadcast
+BROADCAST_MAX_ROWS = 2_000_000   # lookup tables of more rows are never broadcast,
+BROADCAST_MAX_BYTES = 256 << 20  # nor those whose rows, at their schema's width, take more than this
 PREFIX_BUCKETS = 64              # range buckets of the distributed prefix sum

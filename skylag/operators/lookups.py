@@ -1,7 +1,8 @@
 """Lookup joins (J1–J6), hub flags (F11) and distances.
 
 Lookups are left equi-joins. A lookup side is broadcast only when its row
-count is known and under ``BROADCAST_MAX_ROWS``; otherwise the join is left
+count is known and its rows and bytes are under ``BROADCAST_MAX_ROWS`` and
+``BROADCAST_MAX_BYTES``; otherwise the join is left
 to the planner (sort-merge / shuffle-hash, AQE may still convert it at
 runtime from measured sizes).
 """
@@ -20,7 +21,14 @@ def sized(table: DataFrame, rows: int | None = None, max_rows: int = C.BROADCAST
     (e.g. recorded when a fitted table was written); when unknown it is
     counted, which is cheap for materialised tables."""
     n = table.count() if rows is None else rows
-    return F.broadcast(table) if n <= max_rows else table
+    return F.broadcast(table) if n <= max_rows and n * row_width(table) <= C.BROADCAST_MAX_BYTES else table
+
+
+def row_width(table: DataFrame) -> int:
+    """Bytes of a row in a broadcast table by its schema: 8 a number, 32 a
+    string, 256 anything nested, 16 for the row itself."""
+    simple = {"string": 32}
+    return 16 + sum(256 if t.startswith(("array", "map", "struct")) else simple.get(t, 8) for _, t in table.dtypes)
 
 
 def first_per_key(dim: DataFrame, key: str) -> DataFrame:

@@ -113,10 +113,30 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 def read_flights_csv(spark: SparkSession, path: str) -> DataFrame:
     """The flights CSV with its explicit schema (no inference pass); the
     header names are validated against the schema (``enforceSchema`` off),
-    so a file with another column order fails instead of being mis-read."""
-    df = (spark.read.schema(FLIGHTS).option("header", True).option("enforceSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
-    return _nan_to_null(df)
+    so a file with another column order fails instead of being mis-read.
+    Malformed rows are not in the result: ``rejected_flights`` has them."""
+    return _nan_to_null(_flights_csv(spark, path).where(F.col(_CORRUPT).isNull() & _whole_row()).drop(_CORRUPT))
+
+
+def rejected_flights(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the flights CSV that its schema cannot hold, with the raw line
+    in ``_corrupt_record``: write or count them beside the load."""
+    return _flights_csv(spark, path).where(F.col(_CORRUPT).isNotNull() & _whole_row())
+
+
+_CORRUPT = "_corrupt_record"
+
+
+def _whole_row():
+    """Always true, but needs every column: the reader then parses whole rows,
+    and which of them are malformed does not depend on a query's columns."""
+    return F.length(F.concat_ws(",", *[F.col(f.name).cast("string") for f in FLIGHTS.fields])) >= 0
+
+
+def _flights_csv(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*FLIGHTS.fields, T.StructField(_CORRUPT, T.StringType())])
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
 
 
 def read_airports_csv(spark: SparkSession, path: str) -> DataFrame:

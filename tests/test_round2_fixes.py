@@ -105,6 +105,27 @@ def test_running_sums_with_nan_and_infinities_at_any_width(spark):
         assert [by["nan" if math.isnan(v) else v] for v in vals] == list(range(1, len(vals) + 1))
 
 
+def test_malformed_csv_rows_are_set_apart(spark, tmp_path):
+    names = [f.name for f in TB.FLIGHTS.fields]
+    good = ["1" if f.dataType.typeName() in ("integer", "long", "double") else "x" for f in TB.FLIGHTS.fields]
+    at = next(i for i, f in enumerate(TB.FLIGHTS.fields) if f.dataType.typeName() in ("integer", "long"))
+    bad = [*good[:at], "oops", *good[at + 1:]]
+    path = tmp_path / "flights.csv"
+    path.write_text("\n".join(",".join(r) for r in (names, good, bad, good)) + "\n")
+    assert TB.read_flights_csv(spark, str(path)).count() == 2
+    assert TB.read_flights_csv(spark, str(path)).columns == names
+    rows = TB.rejected_flights(spark, str(path)).collect()
+    assert len(rows) == 1 and "oops" in rows[0]["_corrupt_record"]
+
+
+def test_wide_lookups_are_not_broadcast(spark):
+    from skylag.operators import lookups as L
+    df = spark.range(10).select("id", F.array("id").alias("a"))
+    assert L.row_width(df) == 16 + 8 + 256
+    assert "broadcast" in L.sized(df, 1000)._jdf.queryExecution().toString().lower()
+    assert "broadcast" not in L.sized(df, 1_500_000)._jdf.queryExecution().toString().lower()
+
+
 def test_parquet_nan_becomes_null(spark, tmp_path):
     full = spark.createDataFrame([(1, float("nan"))], "event_id long, value double")
     schema = TB.TABLE_SCHEMAS["events"]
