@@ -38,7 +38,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 SLICE = 1 << 20          # characters encoded at a time
-CACHE_PIECES = 500_000    # remembered pieces per worker
+CACHE_PIECES = 800_000    # remembered pieces per worker
 CACHE_CHARS = 16_000_000
 MAX_VOCAB_BYTES = 64 << 20
 
@@ -122,7 +122,6 @@ class PieceEncoder:
     def _clear(self):
         self.rest = _Pieces(self, " ")
         self.heads = _Pieces(self, "")
-        self.words = {}
         self.chars = 0
 
     def piece_ids(self, piece: str) -> bytes:
@@ -131,13 +130,12 @@ class PieceEncoder:
         asked, so that its Unicode tables decide."""
         if not piece.isascii() and max(piece) > "ɏ":
             return np.array(self.tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        out = []
-        for w in WORDS.findall(piece):
-            if (ids := self.words.get(w)) is None:
-                spelt = w.encode().decode("latin-1").translate(self.spell)
-                ids = self.words[w] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if not (piece[1:] if piece[:1] == " " else piece).isalpha():
+            words = WORDS.findall(piece)
+            if len(words) != 1:  # each word is remembered as a piece, too
+                return b"".join([self.rest[w[1:]] if w[0] == " " else self.heads[w] for w in words])
+        spelt = piece.encode().decode("latin-1").translate(self.spell)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _slices(self, text: str):
         at = 0
@@ -150,7 +148,7 @@ class PieceEncoder:
         """Ids of a text, as bytes."""
         out = []
         for k, s in enumerate(self._slices(text) if len(text) > SLICE else (text,)):
-            if len(self.rest) + len(self.words) > CACHE_PIECES or self.chars > CACHE_CHARS:
+            if len(self.rest) + len(self.heads) > CACHE_PIECES or self.chars > CACHE_CHARS:
                 self._clear()
             parts = s.split(" ") if "  " not in s else CUT.split(s)
             if not k:
