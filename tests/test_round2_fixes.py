@@ -133,3 +133,28 @@ def test_parquet_nan_becomes_null(spark, tmp_path):
     full.select(*cols).write.parquet(str(tmp_path / "events.parquet"))
     r = TB.read_table(spark, str(tmp_path), "events").select("value").first()
     assert r.value is None
+
+
+def test_each_algorithm_has_its_own_candidates():
+    from skylag.operators import model as MD
+    grid = {"maxDepth": [3, 5], "maxIter": [5, 10], "stepSize": [0.1, 0.2]}
+    got = MD.candidates(grid, ("GBT", "RandomForest", "LogisticRegression"))
+    assert [sum(a == n for a, _ in got) for n in ("GBT", "RandomForest", "LogisticRegression")] == [8, 4, 2]
+    assert len({(a, str(sorted(p.items()))) for a, p in got}) == 14
+
+
+def test_refit_is_scored_at_the_tuned_threshold(spark):
+    from skylag.operators import clean as P
+    from skylag.operators import encode as E
+    from skylag.operators import features as FE
+    from skylag.operators import model as MD
+    from skylag.sources import fixtures as FX
+    tr, te = P.split_by_month(FE.add_route_features(FE.preprocess_flights(FX.trips(spark, "/root/testdata/sf0.001"))))
+    fm = E.fit_features(tr)
+    rank = spark.createDataFrame([("LogisticRegression", '{"maxIter": 5}', 0.3, 1), ("GBT", "{}", 0.2, 2)],
+                                 "algorithm string, params string, cv_score double, rank int")
+    rows = {r["rank"]: r for r in MD.refit_best(tr, te, fm, "classification", rank).collect()}
+    best = rows[1]
+    assert 0 <= best.holdout_auc <= 1 and 0 < best.holdout_threshold < 1
+    p, r = best.holdout_precision, best.holdout_recall
+    assert best.holdout_score == pytest.approx(2 * p * r / (p + r) if p + r else 0) and rows[2].holdout_score is None
