@@ -31,15 +31,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame_schema, load_text, small, table
+from .common import frame_schema, kept, load_text, small, table
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 SLICE = 1 << 20          # characters encoded at a time
-CACHE_PIECES = 800_000    # remembered pieces per worker
-CACHE_CHARS = 16_000_000
+CACHE_PIECES = 250_000   # remembered pieces per worker
+CACHE_CHARS = 8_000_000
 MAX_VOCAB_BYTES = 64 << 20
 
 
@@ -102,7 +102,8 @@ class _Pieces(dict):
 class PieceEncoder:
     """text -> ids (little-endian unsigned 32-bit) by a byte-level tokenizer."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, pieces: int | None = None):
+        self.pieces = pieces or CACHE_PIECES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(tokenizer_json)
@@ -148,7 +149,7 @@ class PieceEncoder:
         """Ids of a text, as bytes."""
         out = []
         for k, s in enumerate(self._slices(text) if len(text) > SLICE else (text,)):
-            if len(self.rest) + len(self.heads) > CACHE_PIECES or self.chars > CACHE_CHARS:
+            if len(self.rest) + len(self.heads) > self.pieces or self.chars > CACHE_CHARS * (self.pieces // CACHE_PIECES or 1):
                 self._clear()
             parts = s.split(" ") if "  " not in s else CUT.split(s)
             if not k:
@@ -175,16 +176,11 @@ class PieceEncoder:
         return a, upto[ends], int((~whole[starts] | ~whole[ends]).sum())
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
-def encoder(tokenizer_json: str) -> PieceEncoder:
-    """The worker's encoder of a tokenizer (kept between tasks)."""
-    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = PieceEncoder(tokenizer_json)
-    return _ENCODERS[key]
+def encoder(tokenizer_json: str, pieces: int | None = None) -> PieceEncoder:
+    """The worker's encoder of a tokenizer (kept between tasks), remembering
+    ``pieces`` pieces."""
+    key = ("bpe", hashlib.sha256(tokenizer_json.encode()).hexdigest(), pieces)
+    return kept(key, lambda: PieceEncoder(tokenizer_json, pieces))
 
 
 def vocabulary_json(path: str) -> str:

@@ -27,6 +27,20 @@ def small(batches, most: int = 2 << 20):
             yield b.slice(at, step)
 
 
+_KEPT: dict = {}
+
+
+def kept(key=None, make=None):
+    """What a Python worker keeps between tasks: one object, the last that was
+    asked for. Asking for another key (or for none) drops it first, so the
+    caches of one operator don't stand beside those of the next."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        if key is not None:
+            _KEPT[key] = make()
+    return _KEPT.get(key)
+
+
 def frame_schema(df: DataFrame, added: str):
     """Schema of ``df`` with the ``added`` DDL columns behind it."""
     from pyspark.sql.types import StructType

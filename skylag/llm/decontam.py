@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import frame_schema, small, table
+from .common import frame_schema, kept, small, table
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
@@ -127,17 +127,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     return out
 
 
-_BUILT: dict[str, WuManber] = {}  # the worker's tables, kept between tasks
-
-
 def _searcher(tables, text: str, width: int, names: list[str], more: bool):
     key = uuid.uuid4().hex
 
     def run(batches):
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = WuManber(tables.value, width)
-        wm = _BUILT[key]
+        wm = kept(("decontam", key), lambda: WuManber(tables.value, width))
         number = wm.vocab.get
         for b in small(batches):
             counts, spans, items = [], [], []

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import connected_components, sized_broadcast, small, table
+from .common import connected_components, kept, sized_broadcast, small, table
 
 BANDS, ROWS, MANTISSA = 56, 7, 10
 K = BANDS * ROWS
@@ -60,7 +60,7 @@ _M = (1 << 64) - 1
 
 class _WordHashes(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -154,6 +154,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n1: int, n2: int) -> float:
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2) -> DataFrame:
     """(doc_id, n_shingles, digest, regs, sig, text) of every document."""
     def run(batches):
+        kept()
         cache = _WordHashes()
         for b in small(batches):
             n, digest, regs, sig = [], [], [], []
@@ -196,6 +197,7 @@ def _confirm(pairs: DataFrame, full: DataFrame, shingle: int, percent: int) -> D
     low = _low(percent)
 
     def run(batches):
+        kept()
         last, of = None, None
         for b in small(batches):
             a, c, n1, n2, r1, r2, t1, t2 = (b.column(k) for k in ("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b",

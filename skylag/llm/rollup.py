@@ -36,6 +36,7 @@ from .bpe import encoder, vocabulary_json
 from .common import small, table
 
 LEDGER = "batch_no long, version string, doc_id long, source string, lang string, n_tokens long, present boolean"
+PIECES = 1_000_000  # pieces that a counting worker remembers
 DELTA = "version string, source string, lang string, docs long, tokens long"
 KEY = ("version", "doc_id")
 
@@ -109,7 +110,7 @@ def counted(docs: DataFrame, tokenizer_json: str, text: str = "text") -> DataFra
     code = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
-        enc = encoder(code.value)
+        enc = encoder(code.value, PIECES)
         for b in small(batches):
             n = [len(enc.encode(t)) // 4 if t else 0 for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])

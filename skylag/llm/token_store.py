@@ -44,6 +44,7 @@ from .common import lowest, small, table
 MAGIC = b"TOKIDS01"
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 1500, 4096, 1 << 16
 LEVEL = 3
+PIECES = 1_000_000  # pieces that a writing worker remembers (about 200 MB); there is no other Python stage beside it
 INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("start", "<i8"), ("n", "<i8"), ("at", "<i8"), ("len", "<i8")])
 MANIFEST = "part int, file string, n_docs long, n_tokens long, bytes long, dict_sha256 string"
 
@@ -95,7 +96,7 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None =
     def run(batches):
         import zstandard
         from pyspark import TaskContext
-        enc, part = encoder(code.value), TaskContext.get().partitionId()
+        enc, part = encoder(code.value, PIECES), TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=LEVEL, **_zdict(shared.value))
         fs, root = _fs(path)
         name, out, index, at, start = f"part-{part:06d}-{uuid.uuid4().hex}.ids", None, [], 41, 0

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame_schema, small, table
+from .common import frame_schema, kept, small, table
 
 TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 1500, 3000, 20_000
 WINDOW = 1
@@ -46,7 +46,7 @@ DICT_BYTES, LEVEL = 12_000, 13
 GRAMS, MIN_SHARE, OVER = (3, 4, 5, 6), 0.02, 20
 LEAD = " the carrier "
 REJECT = 0.7
-CACHE = 400_000
+CACHE = 200_000
 _SPLIT = re.compile(r"\W+")
 
 
@@ -191,9 +191,6 @@ def train(docs: DataFrame, labels: DataFrame, learnable=None) -> Model:
     return fit([(r.doc_id, r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.text))])
 
 
-_LOADED: dict[int, tuple] = {}
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out`` (double, 0 to 1)."""
     schema = frame_schema(docs, f"{out} double")
@@ -202,15 +199,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches):
         m = shared.value
-        key = hash((m.toxic, m.ordinary))
-        if m.weights is not None and key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Distance(m.toxic, m.ordinary)
+        far = kept(("toxicity", m.toxic, m.ordinary), lambda: Distance(m.toxic, m.ordinary)) if m.weights is not None else None
         for b in small(batches):
             if m.weights is None:
                 p = np.full(b.num_rows, m.share)
             else:
-                x = np.array([_LOADED[key].features(t, m.limit) for t in b.column(text).to_pylist()]).reshape(b.num_rows, 6)
+                x = np.array([far.features(t, m.limit) for t in b.column(text).to_pylist()]).reshape(b.num_rows, 6)
                 z = (x - m.mean) / m.scale @ m.weights[:-1] + m.weights[-1]
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([pa.array(p) if n == out else b.column(n) for n in names], names)
