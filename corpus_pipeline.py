@@ -66,7 +66,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 
-STAGES = [("toxicity", toxic), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("tokens", tokens)]
+def _short_batches(stage):
+    """The stage with Arrow batches of 1,000 rows: whole documents are long."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+        return stage(spark, docs, sf_dir)
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+STAGES = [(name, _short_batches(stage)) for name, stage in (
+    ("toxicity", toxic), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("tokens", tokens))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
