@@ -8,7 +8,8 @@ predecessor kept; all but the last return the columns of ``documents``.
 
 Decisions: ``toxicity`` drops rows scored ``REJECT`` or more by the model that
 is fitted on the labelled rows of its input; ``near_dedup`` keeps one document
-of each group of near-duplicates, the one with the smallest doc_id (of rows
+of each group of near-duplicates (0.8 of their ``SHINGLE``-word shingles), the
+one with the smallest doc_id (of rows
 that repeat a doc_id one stays; rows without a doc_id stay); ``decontaminate``
 drops documents that hold a window of a benchmark item; ``redact`` replaces
 personal data by its kind and sets n_chars anew; ``tokens`` encodes the text
@@ -29,6 +30,8 @@ from skylag.llm import bpe, decontam, hyperminhash, pii, toxicity
 from skylag.llm.common import sized_broadcast, table
 from skylag.session import materialize
 
+SHINGLE = 5  # words; op2_hyperminhash alone has two
+
 ORACLE_SQL = None  # models and tokenizers are beyond SQL: tests/llm compares with brute force
 
 
@@ -39,7 +42,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = (hyperminhash.near_duplicates(docs).where("not kept and doc_id is not null")
+    gone = (hyperminhash.near_duplicates(docs, shingle=SHINGLE).where("not kept and doc_id is not null")
             .select(F.col("doc_id").alias("__id")).distinct())
     same = F.col("doc_id") == F.col("__id")
     left = docs.join(sized_broadcast(gone), same, "left_anti")

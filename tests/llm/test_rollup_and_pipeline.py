@@ -99,6 +99,36 @@ def test_pipeline_catches_planted_and_keeps_clean(spark, tables):
     assert all(r.round_trip for r in out)
 
 
+def test_near_dedup_equals_brute_force_on_five_words(spark, tables):
+    """Pairs alike on two words but not on five stay; groups follow the links on five."""
+    rng, docs = random.Random(21), []
+    for i in range(40):
+        ws = [f"{w}{k}" for k, w in enumerate(prose(rng, 60).split())]
+        docs.append((10 * i, " ".join(ws)))
+        for n, at in enumerate(((30,), (15, 40), (10, 28, 50), (8, 20, 35, 52))[:1 + i % 4], 1):
+            other = list(ws)
+            for k in at:
+                other[k] = f"changed{i}x{n}x{k}"
+            docs.append((10 * i + n, " ".join(other)))
+    docs += [(1000, "four words are one"), (1001, "Four words are one"), (1002, "four words are two"), (1003, None), (1004, "")]
+
+    def alike(size):
+        def of(t):
+            ws = (t or "").lower().split()
+            return {tuple(ws)} if 0 < len(ws) < size else set(zip(*(ws[k:] for k in range(size)), strict=False))
+        sets = [(i, of(t)) for i, t in docs]
+        return [(a, b) for n, (a, x) in enumerate(sets) for b, y in sets[n + 1:] if x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    links = alike(5)
+    assert len(set(alike(2)) - set(links)) >= 30 and len(links) >= 30
+    group = {i: i for i, _ in docs}
+    for _ in docs:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    d = tables(documents=docs)
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert sorted(r.doc_id for r in got.collect()) == [i for i, _ in docs if group[i] == i]
+
+
 def test_pipeline_of_nothing(spark, tables):
     d = tables(documents=[], labels=[], benchmark=[])
     assert corpus_pipeline.run(spark, d).count() == 0
