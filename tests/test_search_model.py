@@ -225,3 +225,36 @@ def test_scoring_jobs_cli(spark, quick_model):
     a = sorted(spark.read.parquet(f"{base}/batch").select(*cols).collect(), key=key)
     b = sorted(spark.read.parquet(f"{base}/stream").select(*cols).collect(), key=key)
     assert a == b and len(a) == 6000
+
+
+def test_registered_queries_fit_the_reference_preset(spark, monkeypatch):
+    """Every registered fit and search gets the published parameters."""
+    import jobs.train
+    from skylag import config as C
+    from skylag.plans import modeling
+
+    class Stop(Exception):
+        pass
+
+    def fit(tr, fm, cls_params, reg_params):
+        fits.append((cls_params, reg_params))
+        raise Stop
+
+    def search(tr, fm, task, grid, algorithms):
+        searched.append((task, grid))
+        raise Stop
+
+    fits, searched = [], []
+    monkeypatch.setattr(modeling, "_FITTED", {})
+    monkeypatch.setattr(MD, "fit_two_stage", fit)
+    monkeypatch.setattr(MD, "grid_search", search)
+    for name in ("m1_m4_two_stage_predictions", "s7_train_job"):
+        with pytest.raises(Stop):
+            modeling.Q[name][0](spark, SF001)
+    assert jobs.train.MD is MD and fits == [(C.CLASSIFIER_PARAMS, C.REGRESSOR_PARAMS)] * 2
+    model = type("Model", (), {"features": None})()
+    monkeypatch.setattr(modeling, "fitted_model", lambda spark, d: (model, None, None))
+    for name in ("m5_m6_t5_temporal_grid_search", "m5_regression_grid_search"):
+        with pytest.raises(Stop):
+            modeling.Q[name][0](spark, SF001)
+    assert searched == [("classification", C.PARAM_GRID), ("regression", C.PARAM_GRID)]
