@@ -5,6 +5,12 @@ space) line by line. Units are its lines and, if it has several, the whole
 text. A unit's set is its distinct word bigrams (of one word: that word). A
 template matches a unit if 2 * common / (|unit| + |template|) >= ``DICE``.
 
+``op10_licence_windows`` has more units: besides those, all windows of
+consecutive words, over line ends, of up to |template| * (2 - d) / d bigrams,
+so a notice wrapped over lines or standing in prose is found at any position.
+A best window begins and ends with a bigram of the template (else a shorter
+one scores higher), so only those are looked at.
+
 Pruning loses nothing. Dice >= d needs
     |template| * d / (2 - d) <= |unit| <= |template| * (2 - d) / d
 and a common part of at least |template| * d / (2 - d); so of any
@@ -86,14 +92,50 @@ def _needed(bigrams: list[str], dice: float) -> set[str]:
     return set(word[:len(bigrams) - least + 1])
 
 
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _set(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(pairs))
+    return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(_pairs(words)))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _distinct(found: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(found, lambda h: h.gram)))
+
 
+def _best_window(bigrams: list[str], dice: float) -> Column:
+    """Highest Dice of a window of the bigrams ``grams`` whose places of any
+    template's bigrams are ``hits``; null if no window can reach ``dice``."""
+    n, one = len(bigrams), bigrams[0]
+    if " " not in one:  # a template of one word: a window of that word
+        return F.when(F.array_contains("words", one), F.lit(1.0))
+    least, span = math.ceil(n * dice / (2 - dice) - 1e-9), math.floor(n * (2 - dice) / dice + 1e-9)
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dice: float = DICE, given=None) -> DataFrame:
+    def from_here(run: Column) -> Column:
+        def to_here(last: Column, k: Column) -> Column:
+            first = F.get(run, F.lit(0)).at
+            size = F.size(F.array_distinct(F.slice("grams", first + 1, last.at - first + 1)))
+            return _let(_distinct(F.slice(run, F.lit(1), k + 1)), lambda c: F.when(c >= least, 2.0 * c / (size + n)))
+        return F.array_max(F.transform(run, to_here))
+
+    def starts(mine: Column) -> Column:
+        runs = F.transform(mine, lambda first, k: F.filter(F.slice(mine, k + 1, F.lit(span)), lambda h: h.at < first.at + span))
+        return F.array_max(F.transform(F.filter(runs, lambda r: _distinct(r) >= least), from_here))
+
+    return _let(F.filter("hits", lambda h: h.gram.isin(bigrams)), lambda mine: F.when(_distinct(mine) >= least, starts(mine)))
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dice: float = DICE, given=None,
+         windows: bool = False) -> DataFrame:
     """A row per document: doc_id, matches (array of struct licence, dice: the
-    best of each matching licence, by licence)."""
+    best of each matching licence, by licence). ``windows``: the units are also
+    all windows of words."""
     known = templates(given or TEMPLATES)
     keys = sorted(set().union(*(_needed(b, dice) for _, b in known)))
     norm = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
@@ -106,24 +148,42 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dice: floa
     words = F.filter(F.transform(units, lambda u: F.split(F.trim(u), " +")),
                      lambda w: (F.size(w) >= max(1, low)) & F.arrays_overlap(w, F.array(*map(F.lit, keys))))
     sets = F.filter(F.transform(words, _set), lambda s: (F.size(s) >= low) & (F.size(s) <= high))
-    rows = rows.select("doc_id", F.when(near, sets).otherwise(F.array().cast("array<array<string>>")).alias("sets"))
+    none = F.array().cast("array<string>")
+    flat = F.when(near, F.filter(F.split(F.translate("norm", "\n", " "), " +"), lambda w: w != "")).otherwise(none)
+    rows = rows.select("doc_id", F.when(near, sets).otherwise(F.array().cast("array<array<string>>")).alias("sets"),
+                       *[flat.alias("words")] * windows)
+    if windows:
+        every = sorted(set().union(*(b for _, b in known)))
+        rows = rows.withColumn("grams", F.when(F.size("words") > 1, _pairs(F.col("words"))).otherwise(none))
+        placed = F.transform("grams", lambda g, k: F.when(g.isin(every), F.struct(k.alias("at"), g.alias("gram"))))
+        rows = rows.withColumn("hits", F.filter(placed, lambda h: h.isNotNull()))
 
     def best(name: str, bigrams: list[str]) -> Column:
         n, t = len(bigrams), F.array(*map(F.lit, bigrams))
         fit = F.filter(F.col("sets"), lambda s: (F.size(s) >= n * dice / (2 - dice)) & (F.size(s) <= n * (2 - dice) / dice))
-        return F.array_max(F.transform(fit, lambda s: 2.0 * F.size(F.array_intersect(s, t)) / (F.size(s) + n)))
+        unit = F.array_max(F.transform(fit, lambda s: 2.0 * F.size(F.array_intersect(s, t)) / (F.size(s) + n)))
+        return F.greatest(unit, _best_window(bigrams, dice)) if windows else unit
 
     per = {}
     for name, bigrams in known:
         per.setdefault(name, []).append(best(name, bigrams))
     found = [F.struct(F.lit(k).alias("licence"), F.array_max(F.array(*v)).alias("dice")) for k, v in per.items()]
-    return rows.select("doc_id", F.when(F.size("sets") > 0, F.filter(F.array(*found), lambda m: m.dice >= dice))
+    some = F.size("words" if windows else "sets") > 0
+    return rows.select("doc_id", F.when(some, F.filter(F.array(*found), lambda m: m.dice >= dice))
                        .otherwise(F.array().cast("array<struct<licence:string,dice:double>>")).alias("matches"))
 
 
 def op10_licences(spark, sf_dir: str) -> DataFrame:
     """All documents; a row each with its matching licences and the best."""
-    got = scan(table(spark, sf_dir, "documents"))
+    return _with_best(scan(table(spark, sf_dir, "documents")))
+
+
+def op10_licence_windows(spark, sf_dir: str) -> DataFrame:
+    """The same with all windows of words as units, at any position."""
+    return _with_best(scan(table(spark, sf_dir, "documents"), windows=True))
+
+
+def _with_best(got: DataFrame) -> DataFrame:
     top = F.array_max(F.transform("matches", lambda m: m.dice))
     return got.select("doc_id", F.size("matches").cast("long").alias("n_licences"),
                       F.array_join(F.transform("matches", lambda m: m.licence), ",").alias("licences"),

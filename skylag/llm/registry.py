@@ -7,7 +7,7 @@ from .decontam import op9_decontamination
 from .embed_dedup import op8_embedding_dedup
 from .hyperminhash import op2_hyperminhash
 from .langid import op6_language
-from .licenses import op10_licences, oracle_sql
+from .licenses import op10_licence_windows, op10_licences, oracle_sql
 from .pii import op3_personal_data
 from .rollup import op7_token_rollup
 from .token_store import op1_token_ids
@@ -24,4 +24,5 @@ Q = {
     "op8_embedding_dedup": (op8_embedding_dedup, None),
     "op9_decontamination": (op9_decontamination, None),
     "op10_licences": (op10_licences, oracle_sql()),
+    "op10_licence_windows": (op10_licence_windows, None),
 }

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -175,3 +176,32 @@ def test_op10_equals_its_sql_on_odd_texts(spark, tables):
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(r[1] > 0 for r in got) >= 60
     assert fn(spark, tables(documents=[])).count() == 0
+
+
+def test_op10_windows_find_notices_at_any_position(spark, tables):
+    rng, docs, named = random.Random(8), [(1, None), (2, ""), (3, "license"), (4, "the the the")], {}
+    for k in sorted(licenses.TEMPLATES):
+        for t in licenses.TEMPLATES[k]:
+            named[100 + len(docs)] = k
+            docs.append((100 + len(docs), "\n".join([*(prose(rng, 9) for _ in range(20)), *textwrap.wrap(t, 72), *(prose(rng, 9) for _ in range(40))])))
+            named[100 + len(docs)] = k
+            docs.append((100 + len(docs), f"{prose(rng, 60)} {t} {prose(rng, 60)}"))
+            ws = t.split()
+            ws[rng.randrange(len(ws))] = "changed"
+            docs.append((100 + len(docs), f"{prose(rng, 15)} {' '.join(ws)} {prose(rng, 15)}\n{' '.join(ws[:len(ws) // 2])}"))
+    got = {r.doc_id: r for r in Q["op10_licence_windows"][0](spark, tables(documents=docs)).collect()}
+    assert all(named[i] in got[i].licences.split(",") and got[i].best_dice == 1.0 for i in named)
+    for i, t in docs:
+        ws, want = re.sub(r"[\W_]+", " ", (t or "").lower()).split(), {}
+        grams = [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
+        for k, b in licenses.templates():
+            for at in range(len(grams)):
+                seen, common = set(), 0
+                for g in grams[at:at + int(len(b) * 1.4 / 0.6 + 1e-9)]:
+                    common += g not in seen and g in b
+                    seen.add(g)
+                    if 2 * common / (len(seen) + len(b)) >= 0.6:
+                        want[k] = max(want.get(k, 0), 2 * common / (len(seen) + len(b)))
+        assert got[i].licences == ",".join(sorted(want)) and got[i].n_licences == len(want), i
+        assert got[i].best_dice == (round(max(want.values()), 6) if want else None)
+        assert got[i].best == (min(want, key=lambda k: (-want[k], k)) if want else None)
