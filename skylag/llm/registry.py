@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .decontam import op9_decontamination
 from .embed_dedup import op8_embedding_dedup
+from .exact_dedup import SQL as op13_sql
+from .exact_dedup import op13_exact_dedup
 from .hyperminhash import op2_hyperminhash
 from .langid import op6_language
 from .licenses import op10_licence_windows, op10_licences, oracle_sql
@@ -25,4 +27,5 @@ Q = {
     "op9_decontamination": (op9_decontamination, None),
     "op10_licences": (op10_licences, oracle_sql()),
     "op10_licence_windows": (op10_licence_windows, None),
+    "op13_exact_dedup": (op13_exact_dedup, op13_sql),
 }
