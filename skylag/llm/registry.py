@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op5_byte_bpe
 from .decontam import op9_decontamination
+from .divergence import SQL as op11_sql
+from .divergence import op11_source_divergence
 from .embed_dedup import op8_embedding_dedup
 from .exact_dedup import SQL as op13_sql
 from .exact_dedup import op13_exact_dedup
@@ -27,5 +29,6 @@ Q = {
     "op9_decontamination": (op9_decontamination, None),
     "op10_licences": (op10_licences, oracle_sql()),
     "op10_licence_windows": (op10_licence_windows, None),
+    "op11_source_divergence": (op11_source_divergence, op11_sql),
     "op13_exact_dedup": (op13_exact_dedup, op13_sql),
 }
