@@ -12,6 +12,7 @@ from .exact_dedup import op13_exact_dedup
 from .hyperminhash import op2_hyperminhash
 from .langid import op6_language
 from .licenses import op10_licence_windows, op10_licences, oracle_sql
+from .periodic import op12_periodic_runs
 from .pii import op3_personal_data
 from .rollup import op7_token_rollup
 from .token_store import op1_token_ids
@@ -30,5 +31,6 @@ Q = {
     "op10_licences": (op10_licences, oracle_sql()),
     "op10_licence_windows": (op10_licence_windows, None),
     "op11_source_divergence": (op11_source_divergence, op11_sql),
+    "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_exact_dedup": (op13_exact_dedup, op13_sql),
 }
