@@ -10,6 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+OWN_FOLDER = "skylag.checkpoint.own"  # the checkpoint folder that a local session made for itself
+
+
 def get_session(master: str | None = None, app: str = "skylag",
                 shuffle_partitions: int | None = None, extra_conf: dict | None = None) -> SparkSession:
     """Session with the settings the engine relies on.
@@ -58,6 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                "stream checkpoints must survive the loss of an executor")
         d = tempfile.mkdtemp(prefix="skylag-ckpt-", dir=os.environ.get("SKYLAG_TMP", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
+        spark.conf.set(OWN_FOLDER, d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -74,15 +74,17 @@ def path_size(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
-SPREAD_BYTES, SPREAD_LEAST = 32 << 20, 8
+SPREAD_BYTES, SPREAD_LEAST, SPREAD_SMALL = 32 << 20, 8, 1 << 20
 
 
 def spread(df: DataFrame, size_bytes: int, per_partition: int = SPREAD_BYTES) -> DataFrame:
     """Layout of data that is read many times (model training): rows are dealt
     by their hash over one partition per ``per_partition`` stored bytes, 8 at
-    least. A fixed rule of the data alone, so that a fitted model does not
-    depend on the number of cores or on how the files were cut."""
-    n = max(SPREAD_LEAST, -(-size_bytes // per_partition))
+    least or as many as it has MB (a level of a tree is a job: tasks of a few
+    thousand rows cost more to start than to run). A fixed rule of the data
+    alone, so that a fitted model does not depend on the number of cores or on
+    how the files were cut."""
+    n = max(1, min(SPREAD_LEAST, -(-size_bytes // SPREAD_SMALL)), -(-size_bytes // per_partition))
     return df.repartition(n, F.xxhash64(*df.columns))
 
 

@@ -227,7 +227,7 @@ def test_scoring_jobs_cli(spark, quick_model):
     assert a == b and len(a) == 6000
 
 
-def test_registered_queries_fit_the_reference_preset(spark, monkeypatch):
+def test_registered_queries_fit_the_reference_preset(spark, monkeypatch, tmp_path):
     """Every registered fit and search gets the published parameters."""
     import jobs.train
     from skylag import config as C
@@ -240,21 +240,21 @@ def test_registered_queries_fit_the_reference_preset(spark, monkeypatch):
         fits.append((cls_params, reg_params))
         raise Stop
 
-    def search(tr, fm, task, grid, algorithms):
+    def search(tr, fm, task, grid, algorithms, notes, note):
         searched.append((task, grid))
         raise Stop
 
     fits, searched = [], []
     monkeypatch.setattr(modeling, "_FITTED", {})
+    spark.conf.set("skylag.fit.store", str(tmp_path))  # nothing fitted before
     monkeypatch.setattr(MD, "fit_two_stage", fit)
     monkeypatch.setattr(MD, "grid_search", search)
     for name in ("m1_m4_two_stage_predictions", "s7_train_job"):
         with pytest.raises(Stop):
             modeling.Q[name][0](spark, SF001)
     assert jobs.train.MD is MD and fits == [(C.CLASSIFIER_PARAMS, C.REGRESSOR_PARAMS)] * 2
-    model = type("Model", (), {"features": None})()
-    monkeypatch.setattr(modeling, "fitted_model", lambda spark, d: (model, None, None))
     for name in ("m5_m6_t5_temporal_grid_search", "m5_regression_grid_search"):
         with pytest.raises(Stop):
             modeling.Q[name][0](spark, SF001)
     assert searched == [("classification", C.PARAM_GRID), ("regression", C.PARAM_GRID)]
+    spark.conf.unset("skylag.fit.store")
