@@ -34,9 +34,12 @@ from pyspark.sql import functions as F
 from .common import frame_schema, kept, load_text, small, table
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Other white space: a space beside one of these need not begin a match.
+OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 #: Fixed: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+MARKS = tuple(",.;:!?")
 SLICE = 1 << 20          # characters encoded at a time
 CACHE_PIECES = 250_000   # remembered pieces per worker
 CACHE_CHARS = 8_000_000
@@ -87,6 +90,12 @@ def tokenizer_from_ranks(ranks: dict[bytes, int]) -> str:
     return tok.to_str()
 
 
+def _spaces_meet(s: str) -> bool:
+    """Whether a space stands beside other white space, so that it may not be
+    cut at: only "non-space, space, non-space" always begins a match."""
+    return "  " in s or any(c in s and (c + " " in s or " " + c in s) for c in OTHER_SPACE)
+
+
 class _Pieces(dict):
     """piece -> ids, filled on demand; ``lead`` stands before every piece."""
 
@@ -107,7 +116,7 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(tokenizer_json)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         chars = byte_chars()
         self.spell = "".join(chars)
@@ -131,7 +140,10 @@ class PieceEncoder:
         asked, so that its Unicode tables decide."""
         if not piece.isascii() and max(piece) > "ɏ":
             return np.array(self.tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        if not (piece[1:] if piece[:1] == " " else piece).isalpha():
+        body = piece[1:] if piece[:1] == " " else piece
+        if not body.isalpha():
+            if body[-1:] in MARKS and body[:-1].isalpha():  # most pieces: a word and the mark behind it
+                return (self.heads if body is piece else self.rest)[body[:-1]] + self.heads[body[-1]]
             words = WORDS.findall(piece)
             if len(words) != 1:  # each word is remembered as a piece, too
                 return b"".join([self.rest[w[1:]] if w[0] == " " else self.heads[w] for w in words])
@@ -146,12 +158,15 @@ class PieceEncoder:
         yield text[at:] if at else text
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, as bytes."""
+        """Ids of a text, as bytes. Added tokens of the vocabulary count where
+        their text stands, as by the library's default."""
+        if any(a in text for a in self.added):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for k, s in enumerate(self._slices(text) if len(text) > SLICE else (text,)):
             if len(self.rest) + len(self.heads) > self.pieces or self.chars > CACHE_CHARS * (self.pieces // CACHE_PIECES or 1):
                 self._clear()
-            parts = s.split(" ") if "  " not in s else CUT.split(s)
+            parts = CUT.split(s) if _spaces_meet(s) else s.split(" ")
             if not k:
                 out.append(self.heads[parts[0]])
                 parts = islice(parts, 1, None)

@@ -59,9 +59,11 @@ def _width(vocab_size: int) -> int:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_json: str, width: int) -> bytes:
-    """Dictionary from the bounded sample; empty if the sample is too small."""
+    """Dictionary from the bounded sample, a slice at a hashed place of each of
+    its documents; empty if the sample is too small."""
     import zstandard
-    rows = lowest(docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DICT_CHARS).alias("t"))
+    rows = lowest(docs.select(F.xxhash64("doc_id").alias("h"), F.expr(
+        f"substring(text, 1 + cast(pmod(xxhash64(doc_id, 'slice'), greatest(length(text) - {DICT_CHARS}, 0) + 1) as int), {DICT_CHARS})").alias("t"))
                   .where("t is not null"), DICT_DOCS)
     enc = encoder(tokenizer_json)
     samples = [_pack(enc.encode(r.t), width) for r in rows]

@@ -40,6 +40,20 @@ def test_ids_equal_tiktoken(multi, reference):
         assert multi.decode(ids) == t.encode()
 
 
+def test_ids_equal_the_library_by_default(multi, reference):
+    """White space of all kinds in a row, words with marks, added tokens."""
+    import random
+    rng = random.Random(9)
+    plain, enc = Tokenizer.from_file(PLAIN), bpe.PieceEncoder(bpe.vocabulary_json(PLAIN))
+    parts = ["a", "word", "é,", "x!", ".", "'s", " ", " ", " ", "\u00a0", "\x85", "\u2003", "\n", "\t", "\x1c", "7"]
+    texts = ["a \u00a0 \u00a0", "a<|endoftext|>b", "a <|endoftext|> b", "?", " , ", "b.", " b.", "<|endoftext|>" * 3]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(20_000)]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+        assert multi.encode(t) == reference(t), repr(t)
+    assert np.frombuffer(enc.encode(texts[1]), "<u4").tolist() == [64, 50256, 65]
+
+
 def test_long_texts_are_cut_without_a_trace(multi, reference, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE", 50)
     for _, t in documents():
@@ -88,7 +102,6 @@ def test_clashing_columns_and_null_ids(spark):
 def test_op1_round_trip(spark, tables):
     docs = documents()
     tok = Tokenizer.from_file(PLAIN)
-    tok.encode_special_tokens = True
     d = tables(documents=docs)
     rows = Q["op1_token_ids"][0](spark, d).collect()
     enc = {t: np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for _, t in docs}

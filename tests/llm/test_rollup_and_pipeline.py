@@ -47,6 +47,20 @@ def test_a_lost_attempt_counts_nothing(spark):
     assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 3)]
 
 
+def test_operations_of_one_document_are_netted(spark):
+    store = rollup.Rollup(spark, shared_path(spark, "test-net"))
+    put = lambda name, *rows: store.commit(name, spark.createDataFrame(rows, ROW), "v")
+    total = lambda: {(r.source, r.lang): (r.docs, r.tokens) for r in store.totals().collect()}
+    put("a", ("revise", 1, "s", "en", 5), ("insert", 1, "s", "en", 3), ("insert", 2, "t", "de", 4), ("insert", 2, "t", "de", 6))
+    assert total() == {("s", "en"): (1, 5), ("t", "de"): (1, 6)}
+    put("b", ("insert", 1, "u", "fr", 7), ("delete", 1, None, None, None), ("delete", 2, None, None, 0), ("revise", 2, "t", "de", 9))
+    assert total() == {("u", "fr"): (1, 7)}
+    put("c", ("delete", 1, None, None, 0), ("insert", 1, "u", "fr", 7), ("revise", 3, "s", "en", 1))
+    assert total() == {("u", "fr"): (1, 7)} and store.ledger().count() == 1
+    put("d", ("insert", 3, "s", "en", 1), ("revise", 3, "s", "en", 2), ("delete", 3, "s", "en", 2), ("insert", 1, "x", "x", 1))
+    assert total() == {("u", "fr"): (1, 7), ("s", "en"): (1, 2)}
+
+
 def test_op7_equals_a_recount(spark, tables):
     docs = [(i, t, "en" if i and i % 2 else None, f"s{(i or 0) % 3}") for i, t in documents()]
     labels = [(i, int(i % 5 != 0), int(i % 4 == 0)) for i, _, _, _ in docs if i is not None][::2]
