@@ -30,12 +30,29 @@ def small(batches, most: int = 2 << 20):
 _KEPT: dict = {}
 
 
+def _release() -> None:
+    """Return freed memory to the system: workers are used again by later
+    stages, and what they only once needed would count for ever."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def kept(key=None, make=None):
     """What a Python worker keeps between tasks: one object, the last that was
-    asked for. Asking for another key (or for none) drops it first, so the
-    caches of one operator don't stand beside those of the next."""
+    asked for. Asking for another key (or for none) drops it first and gives
+    the memory back, so the caches of one operator don't stand beside those of
+    the next."""
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            _release()
         if key is not None:
             _KEPT[key] = make()
     return _KEPT.get(key)

@@ -151,3 +151,30 @@ def test_pipeline_of_nothing(spark, tables):
 def test_stages_agree_with_their_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "redact", "tokens"]
     assert pii.KINDS == ("email", "ip", "card", "phone") and decontam.WIDTH == 10
+
+
+def test_pipeline_clashing_columns_repeated_ids_and_settings(spark, tmp_path):
+    """Extra columns of any name survive, a repeated doc_id keeps one text whatever the file layout, the session stays as it was."""
+    rng = random.Random(4)
+    texts = [prose(rng, 30) for _ in range(12)]
+    rows = [(i % 9, t, "en", "s", len(t), f"id{i}", i, "w", {"k": i}) for i, t in enumerate(texts)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, __id string, __score int, row string, spans map<string,int>"
+    got = []
+    for k, (order, parts) in enumerate(((1, 1), (-1, 5))):
+        docs = spark.createDataFrame(rows[::order], names).repartition(parts)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = str(tmp_path / f"{k}-{name}")
+            (tmp_path / "in").mkdir(exist_ok=True)
+            if not (tmp_path / "in" / "labels.parquet").exists():
+                spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "in" / "labels.parquet"))
+                spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(str(tmp_path / "in" / "benchmark.parquet"))
+            stage(spark, docs, str(tmp_path / "in")).write.parquet(d)
+            docs = spark.read.parquet(d)
+        assert docs.columns == [c.split()[0] for c in names.split(", ")]
+        got.append(sorted((r.doc_id, r.text, r["__id"], r["__score"], r.row, r.spans["k"]) for r in docs.collect()))
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(9)) and all(r[2] == f"id{r[3]}" for r in got[0])
+    spark.createDataFrame([r[:5] for r in rows], ", ".join(names.split(", ")[:5])).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4321)
+    assert corpus_pipeline.run(spark, str(tmp_path / "in")).count() == 9
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "4321"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
