@@ -82,6 +82,11 @@ SLOT_FIELDS = [
     "month", "day_of_week", "scheduled_departure_hour", "scheduled_arrival_hour",
     "origin_airport_code", "destination_airport_code", "airline_code", "distance",
 ]
+# JSON types of the slots in tool calls and results
+SLOT_TYPES = {
+    "month": "INT", "day_of_week": "INT", "scheduled_departure_hour": "INT", "scheduled_arrival_hour": "INT",
+    "origin_airport_code": "STRING", "destination_airport_code": "STRING", "airline_code": "STRING", "distance": "DOUBLE",
+}
 # earth radius in miles of the great-circle distance
 EARTH_RADIUS_MILES = 3958.8
 ENTITY_MAX_BYTES = 64 << 20    # vectors of a broadcast entity table

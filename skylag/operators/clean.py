@@ -121,6 +121,13 @@ def slot_completeness(df: DataFrame, fields=C.SLOT_FIELDS) -> DataFrame:
               .withColumn("complete", F.size("missing") == 0))
 
 
+def gate(df: DataFrame, fields=C.SLOT_FIELDS) -> DataFrame:
+    """P12 + P14 in one pass: every row with its missing fields, whether it is
+    complete, and the reason if it is not."""
+    return slot_completeness(df, fields).withColumn(
+        "reason", F.when(~F.col("complete"), F.concat(F.lit("missing: "), F.array_join("missing", ", "))))
+
+
 def prediction_gate(df: DataFrame, fields=C.SLOT_FIELDS) -> tuple[DataFrame, DataFrame]:
     """Only complete rows go to scoring; the rest keep their reason."""
     s = slot_completeness(df, fields)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
+from . import clean as P
 
 
 def _order_key(ts="ts", seq="seq"):
@@ -91,6 +92,15 @@ def state_from_messages(log: DataFrame, fields: dict[str, str], session="session
     return rows.groupBy(session).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_k"))).alias(n) for n in named])
 
 
+def status_from_messages(log: DataFrame, fields: dict[str, str] = C.SLOT_TYPES, session="session_id", **columns) -> DataFrame:
+    """K1 + W5 + P12 + P14 + K2 + F26 in one pass over the message log: the
+    slots, the last prediction, the missing slots, whether a prediction may be
+    asked for (with the reason if not) and the reply. ``columns`` are those of
+    ``state_from_messages``; the log is grouped once and joined with nothing."""
+    s = P.gate(state_from_messages(log, fields, session=session, **columns), list(fields))
+    return s.withColumn("reply", X.reply_fallback(F.col("last_prediction.delay_probability"), "missing"))
+
+
 def latest_record(log: DataFrame, record, session="session_id", ts="ts", seq="seq",
                   name="last_record") -> DataFrame:
     """Latest non-null record (e.g. a prediction struct) per session."""
@@ -107,9 +117,11 @@ def keep_last(df: DataFrame, n=C.SESSION_HISTORY, session="conv_id", order="turn
 
 def session_status(log: DataFrame, slots, record, session="session_id") -> DataFrame:
     """K2: slots, missing list, completeness, last record and reply text.
-    ``record`` is a struct with a ``delay_probability`` field."""
-    state = slot_state(log, slots, session=session)
-    last = latest_record(log, record, session=session)
-    s = state.join(last, session, "left")
+    ``record`` is a struct with a ``delay_probability`` field. The log is
+    grouped once."""
+    key = _order_key()
+    told = [F.max_by("value", F.when((F.col("slot") == s) & F.col("value").isNotNull(), key)).alias(s) for s in slots]
+    last = F.max_by(record, F.when(record.isNotNull(), key)).alias("last_record")
+    s = log.groupBy(session).agg(*told, last)
     s = s.withColumn("missing", X.missing_fields(list(slots))).withColumn("complete", F.size("missing") == 0)
     return s.withColumn("reply", X.reply_fallback(F.col("last_record.delay_probability"), "missing"))

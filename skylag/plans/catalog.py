@@ -915,13 +915,8 @@ MISSING_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN {s} IS NULL THEN '{s}'
 def p12_p14_slot_completeness(spark, d):
     """P12 + P14: missing-slot list per session and the prediction gate —
     complete sessions pass, the others are rejected with a reason."""
-    st = K.slot_state(FX.slot_log(spark, d), SLOTS)
-    passed, rejected = P.prediction_gate(st, SLOTS)
-    ok = P.slot_completeness(passed, SLOTS).select(
-        "session_id", F.array_join("missing", ", ").alias("missing"), "complete",
-        F.lit(None).cast("string").alias("reason"))
-    bad = rejected.select("session_id", F.array_join("missing", ", ").alias("missing"), "complete", "reason")
-    return ok.unionByName(bad)
+    gated = P.gate(K.slot_state(FX.slot_log(spark, d), SLOTS), SLOTS)
+    return gated.select("session_id", F.array_join("missing", ", ").alias("missing"), "complete", "reason")
 
 
 @query("w5_k2_session_status", with_(["slot_log"],

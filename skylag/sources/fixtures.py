@@ -96,6 +96,39 @@ def tool_call_log(spark: SparkSession, data_dir: str) -> DataFrame:
                     F.to_json(F.create_map(F.col("event_type"), F.col("value"))).alias("args"))
 
 
+def message_log(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Message log from ``events`` in short sessions (a user's events among 500
+    in a row): tool calls, results, malformed and plain messages by turns, so
+    that every rule has rows."""
+    e = read_table(spark, data_dir, "events")
+    i = F.col("event_id")
+    turn, v = i % 11, i % 997
+    code = _code("N", i % 25)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    share = F.concat(F.lit("0."), F.lpad(v.cast("string"), 3, "0"))
+    bodies = [
+        text('{"month": ', i % 12 + 1, ', "day_of_week": ', i % 7 + 1, ', "origin_airport_code": "', code, '", "airline_code": null}'),
+        text('{"month": ', i % 12 + 1, ', "day_of_week": 5, "scheduled_departure_hour": ', i % 24, ', "scheduled_arrival_hour": ', v % 24,
+             ', "origin_airport_code": "', code, '", "destination_airport_code": "N01", "airline_code": "A0', i % 9, '", "distance": ', v, "}"),
+        text('{"origin_airport_code": "", "destination_airport_code": "', code, '", "month": 12}'),
+        text('{"query": "', code, '", "month": 3}'),
+        text('{"delay_probability": ', share, ', "delayed": true, "delay_minutes": ', v, "}"),
+        text('{"delay_probability": ', share, "}"),
+        text('{"delay_probability": null, "distance_miles": ', v, ".5}"),
+        text('{"distance_miles": 7, "updated_slots": {"airline_code": "A07", "month": null, "distance": ', v, ', "scheduled_departure_hour": 6}}'),
+        text('{"distance_miles": ', v),
+        text("departing from ", code),
+        text('{"success": false, "error": "no route ', v, '"}')]
+    body, tool = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, b in enumerate(bodies):
+        body = F.when(turn == k, b).otherwise(body)
+    for k, name in enumerate(("update_flight_slots", "call_predict_api", "calculate_distance", "search_airports")):
+        tool = F.when(turn == k, name).otherwise(tool)
+    kind = F.when(turn < 4, "call").when(turn == 9, "user").otherwise("result")
+    return e.select((F.col("user_id") * 100000 + F.floor(i / 500)).alias("session_id"), F.col("ts"), i.alias("seq"),
+                    kind.alias("kind"), tool.alias("tool"), body.alias("body"))
+
+
 # ---------------------------------------------------------------------------
 # DuckDB text of the same stand-ins (CTE bodies).
 TRIPS_SQL = """
@@ -141,3 +174,9 @@ FROM supplier GROUP BY 1
 SLOT_LOG_SQL = """
 SELECT user_id AS session_id, ts, event_id AS seq, event_type AS slot, value, props FROM events
 """
+
+#: The same log as typed columns, without going through JSON.
+MESSAGES_SQL = """
+SELECT user_id * 100000 + event_id // 500 AS session_id, ts, event_id AS seq, event_id % 11 AS turn, event_id % 997 AS v,
+  concat('N', lpad(CAST(event_id % 25 AS VARCHAR), 2, '0')) AS code, event_id AS i FROM events
+"""

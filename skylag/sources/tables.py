@@ -126,6 +126,16 @@ def rejected_flights(spark: SparkSession, path: str) -> DataFrame:
     return _flights_csv(spark, path).where(F.col(_CORRUPT).isNotNull() & _whole_row())
 
 
+def rejection_reasons(rejected: DataFrame) -> DataFrame:
+    """The rejected rows with ``reason``: ``columns`` if the line has not one
+    field per column, else the first column whose field is no number (quoted
+    fields hold no commas in this layout)."""
+    fields = F.split(_CORRUPT, ",", -1)
+    numbers = [F.when((fields[i] != "") & fields[i].try_cast("double").isNull(), F.lit(f.name))
+               for i, f in enumerate(FLIGHTS.fields) if not isinstance(f.dataType, T.StringType)]
+    return rejected.withColumn("reason", F.when(F.size(fields) != len(FLIGHTS.fields), "columns").otherwise(F.coalesce(*numbers)))
+
+
 _CORRUPT = "_corrupt_record"
 
 
