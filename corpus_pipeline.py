@@ -37,6 +37,7 @@ from skylag.session import materialize
 
 SHINGLE = 5  # words; op2_hyperminhash alone has two
 BATCH_ROWS = "1000"
+PIECES = 120_000  # remembered by a worker of the last stage
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 ORACLE_SQL = None  # models and tokenizers are beyond SQL: tests/llm compares with brute force
@@ -83,10 +84,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     code = bpe.vocabulary_json(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), code)
-    back = bpe.decode(coded, code)
-    return back.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
+    return bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), code, pieces=PIECES)
 
 
 def _short_batches(stage):

@@ -255,6 +255,26 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "dec
     return df.mapInArrow(run, schema)
 
 
+def encode_checked(df: DataFrame, tokenizer_json: str, text: str = "text", pieces: int | None = None) -> DataFrame:
+    """The other columns of ``df`` with ``ids`` (as by ``encode``), ``n_tokens``
+    and ``round_trip``: whether the ids decode to the bytes of the text. One
+    worker a task encodes and decodes, and the text stays there."""
+    schema = frame_schema(df.drop(text), "ids binary, n_tokens long, round_trip boolean")
+    names = [f.name for f in schema.fields]
+    code = df.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    def run(batches):
+        enc = encoder(code.value, pieces)
+        for b in small(batches):
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            got = [enc.encode(t) for t in texts]
+            new = {"ids": pa.array(got, pa.binary()), "n_tokens": pa.array([len(g) // 4 for g in got], pa.int64()),
+                   "round_trip": pa.array([enc.decode(g) == t.encode() for g, t in zip(got, texts, strict=True)], pa.bool_())}
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(n) for n in names], names)
+
+    return df.mapInArrow(run, schema)
+
+
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Every whole text encoded by the rank file and decoded again; digests of
     the ids and of the decoded bytes."""

@@ -99,6 +99,17 @@ def test_clashing_columns_and_null_ids(spark):
     assert none.decoded is None
 
 
+def test_encode_checked_equals_encode(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in documents()], "doc_id long, text string, n_split string")
+    code = bpe.vocabulary_json(MULTI)
+    want = sorted((str(r.doc_id), r.ids) for r in bpe.encode(df, code).collect())
+    got = bpe.encode_checked(df, code, pieces=50)
+    assert got.columns == ["doc_id", "n_split", "ids", "n_tokens", "round_trip"]
+    rows = got.collect()
+    assert sorted((str(r.doc_id), r.ids) for r in rows) == want and all(r.round_trip and r.n_tokens == len(r.ids) // 4 for r in rows)
+    assert bpe.encode_checked(df.limit(0), code).count() == 0
+
+
 def test_op1_round_trip(spark, tables):
     docs = documents()
     tok = Tokenizer.from_file(PLAIN)
