@@ -75,10 +75,15 @@ def lowest(rows: DataFrame, n: int) -> list:
     return sorted(got, key=lambda r: (r.h, r.t))
 
 
+def is_small(df: DataFrame, max_rows: int = 1_000_000) -> bool:
+    """Whether ``df`` holds at most ``max_rows`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``max_rows`` rows (a
     few long columns are meant), else as it is (the planner shuffles)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -39,11 +39,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import connected_components, kept, sized_broadcast, small, table
+from .common import connected_components, is_small, kept, sized_broadcast, small, table
 
 BANDS, ROWS, MANTISSA = 56, 7, 10
 K = BANDS * ROWS
@@ -222,27 +222,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     full = materialize(sketch(docs, doc_id, text, shingle), "hmh")
     lean = full.select("doc_id", "n_shingles", "digest")
-    sets = lean.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = materialize(lean.where("n_shingles > 0 and doc_id is not null").distinct().join(sets, ["digest", "n_shingles"])
-                         .select("doc_id", "rep").distinct(), "hmh-member")
-    reps = (full.where("n_shingles > 0").join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest", "n_shingles"], "left_semi")
-            .dropDuplicates(["doc_id", "digest"]))
+    usable = full.where("n_shingles > 0 and doc_id is not null")
+    copies = materialize(usable.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+                         .where("c > 1").drop("c"), "hmh-copies")
+    # a document without copies stands for itself: only sets that occur more than once are looked up
+    placed = usable.join(sized_broadcast(copies), ["digest", "n_shingles"], "left")
+    member = materialize(placed.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "hmh-member")
+    wanted = ["doc_id", "n_shingles", "regs", "sig"]
+    reps = placed.where("rep is null").select(*wanted).union(
+        placed.where("doc_id = rep").dropDuplicates(["digest", "n_shingles"]).select(*wanted))
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})))")
-    keys = reps.select("doc_id", F.explode(key).alias("key"))
-    many = Window.partitionBy("key")
-    pooled = (keys.withColumn("lo", F.min("doc_id").over(many)).withColumn("hi", F.max("doc_id").over(many))
-              .where("lo <> hi").select("key", F.col("doc_id").alias("id")).distinct())
-    marks = reps.select(F.col("doc_id").alias("id"), F.struct("n_shingles", *[F.col("sig")[i].alias(f"s{i}") for i in range(SIGNATURE)]).alias("mark"))
-    buckets = materialize(pooled.join(marks, "id"), "hmh-buckets")
-    n_docs = max(1, sets.count())
+    mark = F.struct("n_shingles", *[F.col("sig")[i].alias(f"s{i}") for i in range(SIGNATURE)]).alias("mark")
+    keys = reps.select(F.col("doc_id").alias("id"), F.explode(key).alias("key"))
+    pooled = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"), "hmh-keys")
+    if is_small(pooled):   # all bands pass a filter in the scan's tasks, and bring their marks along
+        buckets = reps.select(F.col("doc_id").alias("id"), mark, F.explode(key).alias("key")).join(F.broadcast(pooled), "key", "left_semi")
+    else:                  # only keys move, the marks join what is left of them
+        buckets = keys.join(pooled, "key", "left_semi").distinct().join(reps.select(F.col("doc_id").alias("id"), mark), "id")
+    buckets = materialize(buckets.select("key", "id", "mark"), "hmh-buckets")
+    n_docs = max(1, member.count())
     links, done, comp, before = [], None, None, None
     for rnd in range(PIVOT_ROUNDS + 1):
-        mixed = materialize(_mixed(buckets, comp, rnd), "hmh-mixed")
-        some, left = mixed.where("comp <> major").agg(F.count("*"), F.coalesce(F.sum("n_minor"), F.lit(0))).first()
-        if some == 0:
+        own, per = _pivots(buckets, comp, rnd)
+        per = materialize(per, "hmh-pivots")
+        some, left = per.agg(F.sum("n_minor"), F.sum(F.col("n_minor") * F.col("n_minor"))).first()
+        if not some:
             break
         last = rnd > 0 and (left <= LEFT_PER_DOC * n_docs or left > before / 2) or rnd == PIVOT_ROUNDS
+        mixed = own.join(per, "key")
         if last:
+            mixed = materialize(mixed, "hmh-mixed")
             pairs = _cross(mixed, percent)
         else:
             pairs = mixed.where(F.col("comp") != F.col("pivot.comp")).where(_near("mark", "pivot.mark", percent)).select(
@@ -255,16 +264,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         new = _confirm(pairs, full, shingle, percent)
         if last and comp is not None:
             new = new.union(_against_components(mixed, comp, full, shingle, percent))
-        new = materialize(new, "hmh-links")
-        links.append(new)
-        if not new.isEmpty():
-            every = links[0]
-            for x in links[1:]:
-                every = every.union(x)
-            comp = connected_components(every)
+        links.append(materialize(new, "hmh-links"))
         if last:
             break
+        comp = _merged(_all(links), comp)
         before = left
+    comp = _components(_all(links), comp) if links else None
     # classes whose documents share a doc_id with another class meet through that id
     own = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     shared = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
@@ -287,20 +292,61 @@ def _near(x: str, y: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (far <= FAR_BITS)
 
 
-def _mixed(buckets: DataFrame, comp: DataFrame | None, rnd: int) -> DataFrame:
-    """Members of the buckets that hold several components, with the bucket's
-    pivot of this round, its largest component and the number of members
-    outside that."""
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.union(x)
+    return out
+
+
+def _merged(links: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(id, component) of linked documents between rounds: the smallest
+    document one or two links away, and what earlier rounds merged. Documents
+    with one component are connected; connected ones may still differ, which
+    costs comparisons but no link (whole components are found at the end)."""
+    edges = links.select(F.col("b").alias("id"), F.col("a").alias("component")).union(links.select("a", "a"))
+    if comp is not None:
+        edges = edges.union(comp)
+    near = materialize(edges.groupBy("id").agg(F.min("component").alias("component")), "hmh-near")
+    up = near.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("further"))
+    return materialize(near.join(sized_broadcast(up), "component", "left").select("id", F.coalesce("further", "component").alias("component")),
+                       "hmh-merged")
+
+
+def _components(links: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(id, component) of all linked documents, the component being the
+    smallest document reachable. What ``comp`` merged is one node, named by
+    its smallest document, so few links are left to be followed. An id can
+    have several equal rows."""
+    if comp is None:
+        return connected_components(links)
+    known = sized_broadcast(comp)
+    over = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    edges = (links.join(over("a"), "a", "left").join(over("b"), "b", "left")
+             .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"))
+    top = materialize(connected_components(edges), "hmh-top")
+    return (comp.join(sized_broadcast(top.select(F.col("id").alias("component"), F.col("component").alias("least"))), "component", "left")
+            .select("id", F.coalesce("least", "component").alias("component")).union(top))
+
+
+def _pivots(buckets: DataFrame, comp: DataFrame | None, rnd: int) -> tuple[DataFrame, DataFrame]:
+    """The buckets' members with their components, and the buckets that hold
+    several components: the pivot of this round, the largest component
+    (``major``), its members (``n_major``) and those outside it (``n_minor``).
+    The second is to be written before the two are joined, so that the join
+    can split a large bucket."""
+    rank = (F.col("id") if rnd == 0 else F.xxhash64("id", F.lit(rnd))).alias("rank")
     if comp is None:
         own = buckets.withColumn("comp", F.col("id"))
+        per = own.select("key", F.lit(1).cast("long").alias("k"), "comp", F.struct(rank, "id", "comp", "mark").alias("p"))
     else:
-        own = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    rank = (F.col("id") if rnd == 0 else F.xxhash64("id", F.lit(rnd))).alias("rank")
-    per = own.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min(F.struct(rank, "id", "comp", "mark")).alias("p"))
+        own = (buckets.join(sized_broadcast(comp), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+               .drop("component"))
+        per = own.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min(F.struct(rank, "id", "comp", "mark")).alias("p"))
     per = (per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("k").alias("n"), F.min("p").alias("pivot"),
                                   F.max(F.struct("k", "comp")).alias("most")).where("comps > 1"))
-    return own.join(per, "key").select("key", "id", "comp", "mark", "pivot", F.col("most.comp").alias("major"),
-                                       (F.col("n") - F.col("most.k")).alias("n_minor"), F.col("most.k").alias("n_major"))
+    return own, per.select("key", "pivot", F.col("most.comp").alias("major"), (F.col("n") - F.col("most.k")).alias("n_minor"),
+                           F.col("most.k").alias("n_major"))
 
 
 def _cross(mixed: DataFrame, percent: int) -> DataFrame:

@@ -71,6 +71,26 @@ def test_op2_chain_and_large_group(spark, tables, monkeypatch):
     check(spark, tables, [(i, t) for i, t in enumerate(chain + group)])
 
 
+def test_op2_without_broadcasts(spark, tables, monkeypatch):
+    """Beyond the size at which tables are broadcast, the result is the same;
+    two rounds of pivots, so that merged components are carried over."""
+    from skylag.llm import common
+    for m in (common, hyperminhash):
+        monkeypatch.setattr(m, "is_small", lambda df, most=0: False)
+    monkeypatch.setattr(hyperminhash, "LEFT_PER_DOC", 0)
+    rng = random.Random(8)
+    docs = []
+    for k in range(6):
+        base = [f"g{k}w{i}" for i in range(80)]
+        for _ in range(9):
+            t = list(base)
+            for _ in range(rng.randrange(5)):
+                t[rng.randrange(80)] = f"x{rng.randrange(10 ** 6)}"
+            docs.append((len(docs) * 7 % 101, " ".join(t)))
+    docs += [(200, docs[0][1]), (201, docs[0][1]), (201, docs[0][1]), (202, None), (203, " ")]
+    check(spark, tables, docs)
+
+
 def test_op2_same_id_and_empty(spark, tables):
     check(spark, tables, [(1, "a b c d"), (1, "x y z w"), (2, "x y z w"), (3, "a b c d"), (4, ""), (5, None), (6, " ")])
     assert Q["op2_hyperminhash"][0](spark, tables(documents=[])).count() == 0
