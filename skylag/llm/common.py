@@ -93,8 +93,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Alternating large-star / small-star rounds (O(log n) of them on real
     graphs) until every tree is a star; each round is two aggregations by
     minimum and two joins, written to the shared folder. No neighbour list is
-    ever collected, so a hub with any number of links is combined map-side and
-    split by the skew join.
+    ever collected: a hub with any number of links is combined map-side for
+    its minimum. Its links then stream through one task of the join, which
+    holds one row of the hub at a time but is not split; callers shorten that
+    by contracting what they know to be connected.
     """
     cur = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     cur = materialize(cur, "cc")
