@@ -8,8 +8,8 @@
    agree on a group share its bucket. The bits follow log2 of the number of
    vectors, so that a bucket holds about ``FILL`` unrelated ones; the number
    of groups follows from ``MISS``, the probability that a pair at the
-   threshold shares none. Larger buckets are cut into blocks, compared two by
-   two, so no task holds more than two blocks.
+   threshold shares none. Buckets of more than ``HOT`` are cut into blocks of
+   ``BLOCK``, compared two by two, so no task holds more than ``HOT`` vectors.
 3. *Pairs.* In a block pair the codes are turned back once and all estimates
    are one matrix product; where the
    estimate plus its confidence bound (``SIGMAS`` deviations) reaches the
@@ -17,7 +17,8 @@
    in which it agrees and nowhere else, so links are counted, not listed; for
    the components a block pair returns a spanning forest of its links.
 
-Identical vectors are one representative with their number.
+Identical vectors are one representative with their number. A column of
+floats is kept in floats, any other in doubles; cosines are in doubles.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components link with nothing; vectors of different length never
@@ -28,6 +29,7 @@ and vector are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache
 
@@ -37,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import connected_components, small, table
+from .common import connected_components, sized_broadcast, small, table
 
 THRESHOLD = 0.9
 FILL, MISS, SIGMAS = 800, 1e-6, 6.0
-BLOCK = 1024
+BLOCK, HOT = 1024, 4096
 
 
 def bits(n: int) -> int:
@@ -61,8 +63,8 @@ def rotation(dim: int, n_codes: int) -> np.ndarray:
     return np.vstack(out)[:n_codes].astype(np.float32)
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1).astype(np.float64)
+def _units(raw: list[bytes], dim: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), f"<f{len(raw[0]) // dim}").reshape(len(raw), -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -79,21 +81,28 @@ def _keys(s: np.ndarray, n_bits: int, n_tables: int) -> np.ndarray:
 
 
 def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Usable vectors: (id, dim, raw), raw being little-endian floats."""
+    """Usable vectors: (id, dim, raw, h), raw being little-endian floats or
+    doubles, as in the column, and h their SHA-256."""
+    single = df.schema[embedding].dataType.elementType.typeName() == "float"
+    kind, cast = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+
     def run(batches):
         for b in small(batches):
-            ids, raw, dims = [], [], []
+            ids, raw, dims, h = [], [], [], []
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i is None or not v or any(x is None for x in v):
                     continue
-                a = np.array(v, "<f4")
+                a = np.array(v, kind)
                 if np.isfinite(a).all() and a.any():
                     ids.append(i)
                     dims.append(len(a))
                     raw.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())],
-                                             ["id", "dim", "raw"])
-    return (df.select(F.col(vec_id).cast("long"), F.col(embedding).cast("array<float>")).mapInArrow(run, "id long, dim int, raw binary"))
+                    h.append(hashlib.sha256(raw[-1]).digest())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary()), pa.array(h, pa.binary())],
+                ["id", "dim", "raw", "h"])
+    return df.select(F.col(vec_id).cast("long"), F.col(embedding).cast(cast)).mapInArrow(
+        run, "id long, dim int, raw binary, h binary")
 
 
 def codes(reps: DataFrame, n_bits: int, n_tables: int) -> DataFrame:
@@ -106,13 +115,13 @@ def codes(reps: DataFrame, n_bits: int, n_tables: int) -> DataFrame:
             raw = b.column("raw").to_pylist()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                s, factor[at] = _code(_units([raw[i] for i in at]), n_bits * n_tables)
+                s, factor[at] = _code(_units([raw[i] for i in at], int(d)), n_bits * n_tables)
                 for i, c, k in zip(at, np.packbits(s, axis=1), _keys(s, n_bits, n_tables).tolist(), strict=True):
                     code[i], keys[i] = c.tobytes(), k
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(code, pa.binary()), pa.array(factor), pa.array(keys, pa.list_(pa.int64()))],
                 [*b.schema.names, "code", "factor", "keys"])
-    return reps.mapInArrow(run, "id long, dim int, raw binary, n long, code binary, factor double, keys array<long>")
+    return reps.mapInArrow(run, "id long, dim int, raw binary, h binary, n long, code binary, factor double, keys array<long>")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -134,12 +143,17 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _compare(n_bits: int, n_tables: int, threshold: float):
     """Links of one block pair: rows (id, links) and (id, other)."""
+    none = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+
     def run(group: pa.Table) -> pa.Table:
+        if len(group) < 2:
+            return none
+        group = group.sort_by("id")  # a tree's root is its smallest vector, in all buckets the same one
         t, own = int(group["t"][0].as_py()), group["s1"][0].as_py() == group["s2"][0].as_py()
         ids, n = np.asarray(group["id"]), np.asarray(group["n"])
         block, first = np.asarray(group["block"]), group["s1"][0].as_py()
-        x = _units(group["raw"].to_pylist())
-        width, dim = n_bits * n_tables, x.shape[1]
+        width, dim = n_bits * n_tables, int(group["dim"][0].as_py())
+        x = _units(group["raw"].to_pylist(), dim)
         packed = np.frombuffer(b"".join(group["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
         s = np.unpackbits(packed, axis=1)[:, :width].astype(bool)
         keys, factor = _keys(s, n_bits, n_tables), np.asarray(group["factor"])
@@ -185,17 +199,19 @@ def _compare(n_bits: int, n_tables: int, threshold: float):
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
                     threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    own = materialize(vectors(df, vec_id, embedding).distinct(), "emb")
-    reps = own.groupBy("dim", "raw").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "dim", "raw", "n")
-    n = max(1, reps.count())
+    own = materialize(vectors(df, vec_id, embedding), "emb")
+    n = max(1, own.agg(F.approx_count_distinct("h")).first()[0])  # sets the width of the buckets only
+    reps = (own.groupBy("dim", "raw").agg(F.min("id").alias("id"), F.first("h").alias("h"), F.count_distinct("id").alias("n"))
+            .select("id", "dim", "raw", "h", "n"))
     n_bits = bits(n)
     n_tables = tables(n_bits, threshold)
     coded = materialize(codes(reps, n_bits, n_tables), "emb-codes")
-    lean = coded.select("id", "dim", F.xxhash64("raw").alias("h"), F.posexplode("keys").alias("t", "key"))
-    sizes = lean.groupBy("dim", "t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = (coded.select("id", "dim", "raw", "n", "code", "factor", F.xxhash64("raw").alias("h"), F.posexplode("keys").alias("t", "key"))
-              .join(sizes, ["dim", "t", "key"])
-              .withColumn("m", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod("h", "m").cast("int"))
+    keyed = F.posexplode("keys").alias("t", "key")
+    hot = materialize(coded.select("dim", keyed).groupBy("dim", "t", "key").agg(F.count("*").alias("size")).where(F.col("size") > HOT)
+                      .select("dim", "t", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("cut")), "emb-hot")
+    blocks = (coded.select("id", "dim", "raw", "n", "code", "factor", F.xxhash64("h").alias("part"), keyed)
+              .join(sized_broadcast(hot), ["dim", "t", "key"], "left").withColumn("m", F.coalesce("cut", F.lit(1)))
+              .withColumn("block", F.pmod("part", "m").cast("int"))
               .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
               .select("dim", "t", "key", F.least("block", "with").alias("s1"), F.greatest("block", "with").alias("s2"),
                       "block", "id", "n", "raw", "code", "factor"))
@@ -204,7 +220,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     # representatives are told apart by id; two of one id (different vectors) add up
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    member = own.join(reps.select("dim", "raw", F.col("id").alias("rep"), "n"), ["dim", "raw"]).select("id", "rep", "n")
+    member = own.select("id", "h").join(coded.select("h", F.col("id").alias("rep"), "n"), "h").select("id", "rep", "n")
     per = (member.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
            .groupBy("id").agg(F.max(F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
                               F.min(F.coalesce("component", "rep")).alias("component")))

@@ -157,9 +157,34 @@ def check8(spark, tables, rows):
 def test_op8_equals_brute_force(spark, tables, monkeypatch):
     monkeypatch.setattr(embed_dedup, "FILL", 10)   # several code bits on this small table
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)  # and buckets of several blocks
+    monkeypatch.setattr(embed_dedup, "HOT", 20)
     check8(spark, tables, vectors())
 
 
+def test_op8_keeps_doubles(spark):
+    """Pairs that floats would put on the other side of the threshold, and components beyond their range."""
+    c = 0.9
+    rows = [(1, [1.0, 0.0]), (2, [c + 1e-10, (1 - (c + 1e-10) ** 2) ** 0.5]), (3, [-1.0, 0.0]),
+            (4, [-(c - 1e-10), -(1 - (c - 1e-10) ** 2) ** 0.5]), (5, [0.0, 1e300]), (6, [0.0, -1e300]), (7, [1e-300, -1e300])]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<double>, raw string, n int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True),
+                   6: (1, 6, True), 7: (1, 6, False)}
+
+
+def test_op8_hot_group_and_copies(spark, tables, monkeypatch):
+    """A third of the rows are near copies of one vector, many of them exact; one row is twice in the table."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "HOT", 16)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((180, 12)).astype(np.float32)
+    x[:60] = x[0] + rng.standard_normal((60, 12)).astype(np.float32) * np.float32(0.05)
+    x[20:40] = x[0]
+    order = rng.permutation(180)
+    rows = [(int(i), x[i].tolist()) for i in order]
+    check8(spark, tables, rows + [rows[5]])
+
+
 def test_op8_empty(spark, tables):
     assert Q["op8_embedding_dedup"][0](spark, tables(embeddings=[])).count() == 0
 
