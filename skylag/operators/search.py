@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import exprs as X
+from ..session import materialize
 from .lookups import sized
 
 _BLOCK = 256
@@ -179,25 +180,58 @@ def nearest_entities(rows: DataFrame, entities: DataFrame, k=C.SEARCH_K, metric=
         _entity_topk(shared, k, metric, qid, qvec), "query_id long, match_id long, distance double")
 
 
-def fit_name_vectors(entities: DataFrame, text: str, num_features=1024):
-    """Character-trigram TF-IDF (hashing trick), IDF fitted once on the entity
-    names. Returns f(df, text, out) that adds dense float vectors; a null
-    name counts as empty."""
-    from pyspark.ml.feature import HashingTF, IDF, NGram
-    from pyspark.ml.functions import vector_to_array
-    ng = NGram(n=3, inputCol="_chars", outputCol="_grams")
-    tf = HashingTF(numFeatures=num_features, inputCol="_grams", outputCol="_tf")
+def _grams(c):
+    """Character trigrams of a padded, lower-cased text, as they occur."""
+    padded = F.concat(F.lit("  "), F.lower(c), F.lit(" "))
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
 
-    def counts(d, c):
-        padded = F.concat(F.lit("  "), F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(" "))
-        chars = d.withColumn("_chars", F.filter(F.split(padded, ""), lambda ch: F.length(ch) > 0))
-        return tf.transform(ng.transform(chars))
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts(entities, text))
 
-    def apply(df, c, out):
-        v = idf.transform(counts(df, c))
-        return v.withColumn(out, vector_to_array("_tfidf", "float32")).drop("_chars", "_grams", "_tf", "_tfidf")
-    return apply
+def name_index(entities: DataFrame, eid="entity_id", text="entity_name") -> tuple[DataFrame, int]:
+    """Inverted trigram index of entity names, written once to the shared
+    folder, and the number of entities. Rows are (gram, entity_id, w): w is
+    what one occurrence of the gram in a query adds to the TF-IDF dot product
+    with that entity at length 1. The row with a null entity holds the gram's
+    squared IDF, ln((n + 1) / (entities with it + 1))^2. A null name counts as
+    empty; ids are taken to be unique."""
+    n = entities.count()
+    tf = (entities.select(F.col(eid).cast("long").alias("entity_id"), F.explode(_grams(F.coalesce(text, F.lit("")))).alias("gram"))
+          .groupBy("entity_id", "gram").agg(F.count("*").alias("tf")))
+    tf = materialize(tf, "name-grams")
+    idf = tf.groupBy("gram").agg(F.log((n + 1) / (F.count("*") + 1)).alias("idf"))
+    part = tf.join(sized(idf, None), "gram")
+    norms = part.groupBy("entity_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+    lists = (part.join(sized(norms, n), "entity_id").where("norm > 0")
+             .select("gram", "entity_id", (F.col("tf") * F.col("idf") ** 2 / F.col("norm")).alias("w")))
+    own = idf.select("gram", F.lit(None).cast("long").alias("entity_id"), (F.col("idf") ** 2).alias("w"))
+    return materialize(lists.unionByName(own), "name-index"), n
+
+
+def nearest_names(names: DataFrame, entities: DataFrame, k=C.SEARCH_K, name="name", eid="entity_id",
+                  text="entity_name") -> DataFrame:
+    """The k entities with the most similar names for each distinct text of
+    ``names``: (name, entity_id, distance), distance being 1 - cosine of the
+    trigram TF-IDF vectors, to nine digits; ties go to the smaller id.
+
+    A text meets only the lists of its own trigrams. An entity that shares
+    none is at distance 1, so of these only the k smallest ids can matter;
+    they are added to every text with nothing shared. Each text is resolved once, however
+    many rows have it, and the lists are broadcast only under the size check
+    (else joined by gram): then one shuffle by text serves all steps."""
+    lists, n = name_index(entities, eid, text)
+    texts = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    grams = texts.select("name", F.explode(_grams(F.col("name"))).alias("gram")).groupBy("name", "gram").agg(F.count("*").alias("tf"))
+    w = F.coalesce("w", F.lit(math.log(n + 1) ** 2))  # a gram of no entity
+    hits = grams.join(sized(lists), "gram", "left").select(
+        "name", "entity_id", F.when(F.col("entity_id").isNull(), F.col("tf") * F.col("tf") * w).otherwise(F.col("tf") * w).alias("s"))
+    lowest = [r[0] for r in entities.select(F.col(eid).cast("long").alias("e")).orderBy("e").limit(k).collect()]
+    rest = texts.select("name", F.explode(F.array(*map(F.lit, lowest)).cast("array<long>")).alias("entity_id"),
+                        F.lit(0.0).alias("s"))
+    every = Window.partitionBy("name")
+    scores = (hits.unionByName(rest).groupBy("name", "entity_id").agg(F.sum("s").alias("s"))
+              .withColumn("norm2", F.max(F.when(F.col("entity_id").isNull(), F.col("s"))).over(every)).where("entity_id is not null"))
+    distance = F.when(F.col("norm2") > 0, F.round(F.greatest(F.lit(0.0), 1 - F.col("s") / F.sqrt("norm2")), 9)).otherwise(1.0)
+    return (scores.select("name", "entity_id", distance.alias("distance"))
+            .withColumn("_r", F.row_number().over(every.orderBy("distance", "entity_id"))).where(F.col("_r") <= k).drop("_r"))
 
 
 def resolve_names(names: DataFrame, entities: DataFrame, name_col="name", id_col="name_id",
@@ -205,30 +239,20 @@ def resolve_names(names: DataFrame, entities: DataFrame, name_col="name", id_col
     """Text -> entity. An exact (upper-cased) code match wins; otherwise
     the best cosine match of character-trigram TF-IDF vectors, with
     Levenshtein distance to the entity name as the tie-break. Also returns
-    the top-k candidate codes. The names stay distributed; only the entities
-    are broadcast. A null name gets a null code, match and candidates."""
+    the top-k candidate codes. A null name gets a null code, match and
+    candidates; of codes that differ in case only, the smallest is taken."""
     ents = entities.select(F.col(ent_id).cast("long").alias("entity_id"), F.col(ent_code).alias("code"),
                            F.col(ent_name).alias("entity_name"))
-    vectors = fit_name_vectors(ents, "entity_name")
-    every = names.select(F.col(id_col).cast("long").alias("query_id"), F.col(name_col).alias("name"))
-    nn = nearest_entities(vectors(every.where("name is not null"), "name", "query_vec"),
-                          vectors(ents, "entity_name", "embedding"), k=k)
-    # many queries may pick the same entity: attach entity fields by a
-    # size-checked broadcast, not a shuffle keyed by the (possibly hot) entity
-    n_ents = ents.count()
-    nn = nn.join(sized(ents.select(F.col("entity_id").alias("match_id"), "code", "entity_name"), n_ents), "match_id")
-    nn = every.join(nn, "query_id", "left")
-    nn = nn.withColumn("lev", F.levenshtein(F.lower("name"), F.lower("entity_name")))
-    w = Window.partitionBy("query_id").orderBy("distance", "lev", "code")
-    ranked = nn.withColumn("_r", F.row_number().over(w))
-    top = ranked.groupBy("query_id", "name").agg(
-        F.min_by("code", "_r").alias("best_code"), F.min_by("distance", "_r").alias("best_distance"),
-        F.sort_array(F.collect_list(F.struct("_r", "code"))).alias("_cands"))
-    top = top.withColumn("candidates", F.when(F.col("name").isNotNull(), F.transform("_cands", lambda s: s["code"]))).drop("_cands")
-    exact = ents.select(F.upper("code").alias("_ucode"), F.col("code").alias("exact_code"))
-    top = top.join(sized(exact, n_ents), F.upper(F.col("name")) == F.col("_ucode"), "left")
-    return top.select(F.col("query_id").alias(id_col), "name",
-                      F.coalesce("exact_code", "best_code").alias("code"),
+    every = names.select(F.col(id_col).alias("_id"), F.col(name_col).alias("name"))
+    near = nearest_names(every, ents, k=k).join(sized(ents), "entity_id")
+    near = near.withColumn("lev", F.levenshtein(F.lower("name"), F.lower("entity_name")))
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("distance", "lev", "code")))
+    top = ranked.groupBy("name").agg(
+        F.min_by("code", "_r").alias("best_code"), F.min("distance").alias("best_distance"),
+        F.transform(F.sort_array(F.collect_list(F.struct("_r", "code"))), lambda s: s["code"]).alias("candidates"))  # k at most
+    exact = ents.groupBy(F.upper("code").alias("_ucode")).agg(F.min("code").alias("exact_code"))
+    top = every.join(top, "name", "left").join(sized(exact), F.upper(F.col("name")) == F.col("_ucode"), "left")
+    return top.select(F.col("_id").alias(id_col), "name", F.coalesce("exact_code", "best_code").alias("code"),
                       F.when(F.col("exact_code").isNotNull(), F.lit("exact"))
                       .when(F.col("name").isNotNull(), F.lit("similarity")).alias("match"),
                       "best_distance", "candidates")

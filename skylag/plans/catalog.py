@@ -978,18 +978,84 @@ def r2_cosine_search(spark, d):
     return r6(S.knn(q, e, k=C.SEARCH_K, metric="cosine"))
 
 
-@query("r3_resolve_names")
+def resolved_sql(names: str, ents: str) -> str:
+    """Every distinct name against every entity (name_id, name; entity_id, code, entity_name)."""
+    grams = "unnest(list_transform(range(1, len(p) - 1), lambda i: substr(p, i, 3)))"
+    return (f"WITH names AS ({names}), ents AS ({ents}), "
+            f"eg AS (SELECT entity_id, gram, count(*) AS tf FROM (SELECT entity_id, {grams} AS gram FROM "
+            "(SELECT entity_id, '  ' || lower(entity_name) || ' ' AS p FROM ents)) GROUP BY ALL), "
+            f"ng AS (SELECT name, gram, count(*) AS tf FROM (SELECT name, {grams} AS gram FROM "
+            "(SELECT DISTINCT name, '  ' || lower(name) || ' ' AS p FROM names WHERE name IS NOT NULL)) GROUP BY ALL), "
+            "idf AS (SELECT gram, ln((SELECT count(*) + 1 FROM ents) / (count(*) + 1)) AS idf FROM eg GROUP BY gram), "
+            "ew AS (SELECT entity_id, gram, tf * idf AS x FROM eg JOIN idf USING (gram)), "
+            "nw AS (SELECT name, gram, tf * coalesce(idf, ln((SELECT count(*) + 1 FROM ents))) AS x FROM ng LEFT JOIN idf USING (gram)), "
+            "en AS (SELECT entity_id, sqrt(sum(x * x)) AS l FROM ew GROUP BY entity_id), "
+            "nn AS (SELECT name, sqrt(sum(x * x)) AS l FROM nw GROUP BY name), "
+            "dots AS (SELECT name, entity_id, sum(nw.x * ew.x) AS s FROM nw JOIN ew USING (gram) GROUP BY ALL), "
+            "dist AS (SELECT nn.name, en.entity_id, CASE WHEN nn.l > 0 AND en.l > 0 "
+            "THEN round(greatest(0.0::DOUBLE, 1 - coalesce(s, 0) / (nn.l * en.l)), 9) ELSE 1.0::DOUBLE END AS d "
+            "FROM nn CROSS JOIN en LEFT JOIN dots ON dots.name = nn.name AND dots.entity_id = en.entity_id), "
+            "best AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY name ORDER BY d, entity_id) <= 5), "
+            "ranked AS (SELECT name, d, code, row_number() OVER (PARTITION BY name "
+            "ORDER BY d, levenshtein(lower(name), lower(entity_name)), code) AS r FROM best JOIN ents USING (entity_id)), "
+            "top AS (SELECT name, min(d) AS d, min_by(code, r) AS code, string_agg(code, ',' ORDER BY r) AS candidates "
+            "FROM ranked GROUP BY name), "
+            "exact AS (SELECT upper(code) AS u, min(code) AS code FROM ents GROUP BY 1) "
+            "SELECT name_id, coalesce(exact.code, top.code) AS code, CASE WHEN exact.code IS NOT NULL THEN 'exact' "
+            "WHEN names.name IS NOT NULL THEN 'similarity' END AS \"match\", round(d, 6) AS best_distance, candidates "
+            "FROM names LEFT JOIN top ON names.name = top.name LEFT JOIN exact ON upper(names.name) = exact.u")
+
+
+def _resolved(names, ents):
+    return S.resolve_names(names, ents).select(
+        "name_id", "code", "match", F.round("best_distance", 6).alias("best_distance"),
+        F.array_join("candidates", ",").alias("candidates"))
+
+
+def nation_entities(spark, d):
+    return TB.read_table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("entity_id"),
+        F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code"),
+        F.col("n_name").alias("entity_name"))
+
+
+NATION_ENTITIES_SQL = ("SELECT n_nationkey::BIGINT AS entity_id, 'N' || lpad(n_nationkey::VARCHAR, 2, '0') AS code, "
+                       "n_name AS entity_name FROM nation")
+
+
+@query("r3_resolve_names", resolved_sql("SELECT p_partkey AS name_id, p_name AS name FROM part", NATION_ENTITIES_SQL))
 def r3_resolve_names(spark, d):
     """Resolve every part name to the closest nation name
     (character-trigram TF-IDF cosine; exact code first)."""
     names = TB.read_table(spark, d, "part").select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("name"))
-    ents = TB.read_table(spark, d, "nation").select(
-        F.col("n_nationkey").alias("entity_id"),
-        F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code"),
-        F.col("n_name").alias("entity_name"))
-    out = S.resolve_names(names, ents)
-    return out.select("name_id", "code", "match", F.round("best_distance", 6).alias("best_distance"),
-                      F.array_join("candidates", ",").alias("candidates"))
+    return _resolved(names, nation_entities(spark, d))
+
+
+@query("r3_codes_and_names", resolved_sql(
+    "SELECT c_custkey AS name_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'n' || lpad(c_nationkey::VARCHAR, 2, '0') "
+    "WHEN c_mktsegment = 'FURNITURE' THEN 'port of ' || lower(n_name) || ' ' || r_name "
+    "WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN c_acctbal >= 0 THEN replace(n_name, 'NATION', 'ntion') ELSE '' END "
+    "WHEN c_mktsegment = 'MACHINERY' THEN CASE WHEN c_acctbal >= 0 THEN c_name END ELSE n_name END AS name "
+    "FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey",
+    NATION_ENTITIES_SQL + " UNION ALL SELECT 100 + r_regionkey, 'R' || r_regionkey::VARCHAR, r_name FROM region"))
+def r3_codes_and_names(spark, d):
+    """Codes in lower case (exact), misspelled, embedded, foreign, empty
+    and null names of all customers, among nations and regions."""
+    region = TB.read_table(spark, d, "region")
+    nation = TB.read_table(spark, d, "nation")
+    seg, rich = F.col("c_mktsegment"), F.col("c_acctbal") >= 0
+    names = (TB.read_table(spark, d, "customer")
+             .join(F.broadcast(nation.join(region, F.col("r_regionkey") == F.col("n_regionkey"), "left")),
+                   F.col("n_nationkey") == F.col("c_nationkey"), "left")  # nations and regions: a bounded list
+             .select(F.col("c_custkey").alias("name_id"),
+                     F.when(seg == "BUILDING", F.concat(F.lit("n"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")))
+                     .when(seg == "FURNITURE", F.concat(F.lit("port of "), F.lower("n_name"), F.lit(" "), "r_name"))
+                     .when(seg == "HOUSEHOLD", F.when(rich, F.replace("n_name", F.lit("NATION"), F.lit("ntion"))).otherwise(""))
+                     .when(seg == "MACHINERY", F.when(rich, F.col("c_name"))).otherwise(F.col("n_name")).alias("name")))
+    ents = nation_entities(spark, d).unionByName(region.select(
+        (F.col("r_regionkey") + 100).cast("long").alias("entity_id"),
+        F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("code"), F.col("r_name").alias("entity_name")))
+    return _resolved(names, ents)
 
 
 # ============================================================================

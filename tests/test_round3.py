@@ -100,3 +100,63 @@ def test_rejected_lines_and_their_reasons(spark, tmp_path, bad, reason):
     (tmp_path / "flights.csv").write_text("\n".join([",".join(names), ",".join(good.values()), line, ""]))
     assert TB.read_flights_csv(spark, str(tmp_path / "flights.csv")).count() == 1
     assert [r.reason for r in TB.rejection_reasons(TB.rejected_flights(spark, str(tmp_path / "flights.csv"))).collect()] == [reason]
+
+
+def test_name_index_equals_brute_force(spark):
+    """Random short names with ties, repeats, an empty and a very long one, against all pairs in NumPy."""
+    import math
+    import random
+    from collections import Counter
+
+    from skylag.operators import search as S
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 9)))
+    ents = [(i, f"c{i:02d}", word()) for i in range(40)] + [(40, "c40", None), (41, "c41", "")]
+    names = [(i, word()) for i in range(120)] + [(200, "abc"), (201, "abc"), (202, ""), (203, "zzz"), (204, "ab" * 20_000), (205, None)]
+
+    def grams(t):
+        p = f"  {(t or '').lower()} "
+        return Counter(p[i:i + 3] for i in range(len(p) - 2))
+    df = Counter(g for _, _, t in ents for g in grams(t))
+    idf = lambda g: math.log((len(ents) + 1) / (df[g] + 1))
+    vec = lambda t: {g: c * idf(g) for g, c in grams(t).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+
+    def distance(a, b):
+        both = norm(a) * norm(b)
+        return round(max(0.0, 1 - sum(x * b.get(g, 0.0) for g, x in a.items()) / both), 9) if both > 0 else 1.0
+    vectors = [(i, vec(t)) for i, _, t in ents]
+    want = {}
+    for t in {t for _, t in names if t is not None}:
+        v = vec(t)
+        want[t] = sorted((distance(v, e), i) for i, e in vectors)[:4]
+    got = {}
+    e = spark.createDataFrame(ents, "entity_id int, code string, entity_name string")
+    n = spark.createDataFrame(names, "name_id int, name string")
+    for r in S.nearest_names(n, e, k=4).collect():
+        got.setdefault(r.name, []).append((r.distance, r.entity_id))
+    assert {t: sorted(x) for t, x in got.items()} == want
+    out = {r.name_id: r for r in S.resolve_names(n, e, k=4).collect()}
+    assert len(out) == len(names) and out[200][1:] == out[201][1:] and len(out[204].candidates) == 4
+    assert out[205].code is None and out[205].candidates is None
+
+
+def test_names_without_entities_and_without_names(spark):
+    from skylag.operators import search as S
+    ents, names = "entity_id int, code string, entity_name string", "name_id int, name string"
+    got = S.resolve_names(spark.createDataFrame([(1, "x"), (2, None)], names), spark.createDataFrame([], ents)).collect()
+    assert sorted((r.name_id, r.code, r.candidates) for r in got) == [(1, None, None), (2, None, None)]
+    assert S.resolve_names(spark.createDataFrame([], names), spark.createDataFrame([(1, "A", "b")], ents)).count() == 0
+    one = S.resolve_names(spark.createDataFrame([(1, "b"), (2, "a")], names),
+                          spark.createDataFrame([(1, "A", "b"), (1, "a", "b")], ents).limit(1)).collect()
+    assert sorted((r.name_id, r.code, r["match"]) for r in one) == [(1, "A", "similarity"), (2, "A", "exact")]
+
+
+def test_name_index_joined_by_gram_gives_the_same(spark, monkeypatch):
+    from skylag.operators import search as S
+    e = spark.createDataFrame([(i, f"c{i}", f"port {i} of {'abcd'[i % 4]}") for i in range(30)], "entity_id int, code string, entity_name string")
+    n = spark.createDataFrame([(i, f"por {i % 30} off {'abcd'[i % 3]}") for i in range(90)], "name_id int, name string")
+    rows = lambda: sorted(map(str, S.resolve_names(n, e).collect()))
+    want = rows()
+    monkeypatch.setattr(S, "sized", lambda t, *_: t)
+    assert rows() == want
