@@ -12,7 +12,7 @@ from .. import config as C
 from ..functions import exprs as X
 from ..session import materialize
 from .lookups import sized
-from .stats import exact_quantiles, late_rate, Y
+from .stats import Y, late_rate, quantiles_of_counts, value_counts
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -89,26 +89,26 @@ def histogram(df: DataFrame, c=Y, bins=100, lo=-60.0, hi=180.0) -> DataFrame:
 
 def box_summary(df: DataFrame, c=Y, by=()) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme data inside the
-    fences) and outlier count, per group."""
+    fences) and outlier count, per group. The rows are read once: all figures
+    come from the table of value counts."""
     by = list(by)
-    q = exact_quantiles(df, c, [0.25, 0.5, 0.75], by=by)
+    vc = materialize(value_counts(df, c, by), "box-counts")
+    q = quantiles_of_counts(vc, c, [0.25, 0.5, 0.75], by)
     qw = q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                               for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     qw = qw.withColumns({"_lf": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                          "_uf": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    base = df.filter(F.col(c).isNotNull())
     if by:
-        # one row per group: written once, then broadcast if its size allows,
-        # so the fact rows are never shuffled by a (possibly hot) group key
+        # one row per group: written once, then broadcast if its size allows
         qw = materialize(qw, "box-quartiles")
-        j = base.join(sized(qw), by)
+        j = vc.join(sized(qw), by)
     else:
-        j = attach_row(base, qw)
+        j = attach_row(vc, qw)
     x = F.col(c)
     inside = (x >= F.col("_lf")) & (x <= F.col("_uf"))
     return j.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.when(inside, 0).otherwise(F.col("_cnt"))).alias("outliers"), F.sum("_cnt").alias("n"))
 
 
 def delay_class_counts(df: DataFrame, y=Y) -> DataFrame:

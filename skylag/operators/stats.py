@@ -168,16 +168,28 @@ def exact_quantiles(df: DataFrame, c: str, probs, by=(), bounded: bool = False)
     are at most ``BOUNDED_VALUES``. Rows with a null value or group are left
     out; NaN is the largest value.
     """
-    by = list(by)
-    probs = [float(p) for p in probs]
-    keep = F.col(c).isNotNull()
-    for b in by:  # a null group has no quantiles, in either path
-        keep = keep & F.col(b).isNotNull()
-    vc = df.filter(keep).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_cnt"))
+    vc = value_counts(df, c, by)
     if bounded:  # a promise of the caller, checked: one range holds few values only
         vc = materialize(vc, "value-counts")
         bounded = vc.limit(BOUNDED_VALUES + 1).count() <= BOUNDED_VALUES
-    cum = prefix_sums(vc, c, ["_cnt"], partition_cols=by, buckets=1 if bounded else None)
+    return quantiles_of_counts(vc, c, probs, by, one_range=bounded)
+
+
+def value_counts(df: DataFrame, c: str, by=()) -> DataFrame:
+    """(*by, c, _cnt): how often each value occurs in each group, combined
+    map-side. Null values and null groups are left out. Quantiles, whiskers
+    and counts all follow from this table."""
+    keep = F.col(c).isNotNull()
+    for b in by:
+        keep = keep & F.col(b).isNotNull()
+    return df.filter(keep).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_cnt"))
+
+
+def quantiles_of_counts(vc: DataFrame, c: str, probs, by=(), one_range: bool = False) -> DataFrame:
+    """``exact_quantiles`` from a table of ``value_counts``."""
+    by = list(by)
+    probs = [float(p) for p in probs]
+    cum = prefix_sums(vc, c, ["_cnt"], partition_cols=by, buckets=1 if one_range else None)
     n, cm, v = F.col("tot__cnt"), F.col("cum__cnt"), F.col(c).cast("double")
     aggs = []
     for i, p in enumerate(probs):

@@ -160,3 +160,21 @@ def test_name_index_joined_by_gram_gives_the_same(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(S, "sized", lambda t, *_: t)
     assert rows() == want
+
+
+def test_box_summary_from_value_counts(spark):
+    """Ties, outliers on both sides, a null value, a null group and a group of one, against pandas."""
+    import numpy as np
+
+    from skylag.operators import profile as PR
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v)) for g in "ab" for v in [*rng.integers(-20, 60, 300), 900, 900, -700]] + [("c", 5.0), ("a", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+
+    def want(x):
+        q1, med, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        inside = (x >= q1 - 1.5 * (q3 - q1)) & (x <= q3 + 1.5 * (q3 - q1))
+        return q1, med, q3, x[inside].min(), x[inside].max(), int((~inside).sum()), len(x)
+    got = {r.g: tuple(r)[1:] for r in PR.box_summary(df, "v", ["g"]).collect()}
+    assert got == {g: want(np.array([v for k, v in rows if k == g and v is not None])) for g in "abc"}
+    assert tuple(PR.box_summary(df, "v").first()) == want(np.array([v for _, v in rows if v is not None]))
