@@ -12,10 +12,13 @@ first.
 
 No labelled spans exist, so the trees learn from the base: candidates equal
 to a base span are positive; those that fail the kind's check, and those that
-cut or exceed a base span of their kind, are negative; the rest is left out. Fitted on the driver from a bounded sample: the
-``FIT_DOCS`` documents with a digit or an "@" and the lowest hash of doc_id,
-texts of at most ``FIT_CHARS`` characters. Every fourth document calibrates:
-a kind's threshold keeps ``KEEP`` of its positives there and is 0.5 at least.
+cut or exceed a base span of their kind, are negative; the rest is left out.
+The fit takes every such candidate of every whole text: the cuts are exact
+quantiles, candidates with equal cuts, kind and label are counted together, and
+a level of a tree is grown from sums over these counts (by Spark tasks if there
+are more than ``LOCAL_ROWS`` of them). The documents whose hash of doc_id is
+divisible by four calibrate: a kind's threshold keeps ``KEEP`` of its positives
+there and is 0.5 at least.
 
 Defined results: null, empty and blank texts have no spans; offsets are code
 points, ends exclusive; repeated rows get a row each; an empty table gives
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,11 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame_schema, kept, lowest, small, table
+from ..session import materialize
+from ..sources.tables import path_size, spread
+from .common import frame_schema, is_small, kept, small, table
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_DOCS, FIT_CHARS = 3000, 20_000
 KEEP = 0.98
+WIDTH, CUTS = 19, 24     # features of a candidate, cuts of a feature at most
+LOCAL_ROWS = 100_000     # counted candidates up to which the driver sums them itself
 # fixed base patterns, written so that long runs of digits take linear time
 _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -141,36 +148,47 @@ class Boost:
     start: float = 0.0
     trees: list = field(default_factory=list)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boost":
-        cuts = [np.unique(np.quantile(c, np.linspace(0.02, 0.98, 24))) for c in x.T]
-        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.start = float(np.log(p / (1 - p)))
-        z = np.full(len(y), self.start)
+    def fit(self, total, cuts: list) -> "Boost":
+        """Grow the trees level by level. ``total(boost, tree, k)`` gives the sums
+        (leaf, feature, code, [rows, gradient, hessian]) over the rows in the
+        leaves 0 to k - 1 of ``tree``."""
         for _ in range(self.rounds):
-            q = 1 / (1 + np.exp(-z))
-            tree = self._grow(x, y - q, q * (1 - q), cuts, self.depth)
-            self.trees.append(tree)
-            z += self.rate * self._walk(tree, x)
+            nodes, leaves = [0.0], [0]  # a node is its value, or feature, cut, left and right node
+            for _ in range(self.depth):
+                s = total(self, self._tree(nodes, 0, {i: float(k) for k, i in enumerate(leaves)}), len(leaves))
+                below = []
+                for i, sums in zip(leaves, s, strict=True):
+                    n, g, h = sums[0].sum(0)
+                    nodes[i] = float(g / (h + 1))
+                    found = self._split(sums, cuts) if n >= 20 else None
+                    if found:
+                        j, t, sides = found
+                        nodes[i] = (j, float(cuts[j][t]), len(nodes), len(nodes) + 1)
+                        below += nodes[i][2:]
+                        nodes += [float(side[1] / (side[2] + 1)) for side in sides]
+                leaves = below
+                if not leaves:
+                    break
+            self.trees.append(self._tree(nodes, 0))
         return self
 
-    def _grow(self, x, g, h, cuts, depth):
-        total = g.sum() ** 2 / (h.sum() + 1)
-        best = (1e-6, None, None)
-        if depth and len(g) >= 20:
-            for j, cut in enumerate(cuts):
-                for t in cut:
-                    left = x[:, j] <= t
-                    n = left.sum()
-                    if 5 <= n <= len(g) - 5:
-                        gl, hl = g[left].sum(), h[left].sum()
-                        gain = gl ** 2 / (hl + 1) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1) - total
-                        if gain > best[0]:
-                            best = (gain, j, t)
-        if best[1] is None:
-            return float(g.sum() / (h.sum() + 1))
-        left = x[:, best[1]] <= best[2]
-        return (best[1], float(best[2]), self._grow(x[left], g[left], h[left], cuts, depth - 1),
-                self._grow(x[~left], g[~left], h[~left], cuts, depth - 1))
+    def _split(self, sums, cuts):
+        """(feature, cut number, the sums of both sides) of the best split, or None."""
+        left = sums.cumsum(1)[:, :CUTS]
+        both = sums[0].sum(0)
+        right = both - left
+        gain = sum(x[..., 1] ** 2 / (x[..., 2] + 1) for x in (left, right)) - both[1] ** 2 / (both[2] + 1)
+        there = np.arange(CUTS) < np.array([len(c) for c in cuts])[:, None]
+        gain[~there | (left[..., 0] < 5) | (right[..., 0] < 5)] = 0
+        j, t = np.unravel_index(gain.argmax(), gain.shape)
+        return (int(j), int(t), (left[j, t], right[j, t])) if gain[j, t] > 1e-6 else None
+
+    def _tree(self, nodes, i, leaves=None):
+        """Nested tuples of node ``i``; with ``leaves``, the leaves' numbers (-1: none) instead of values."""
+        if not isinstance(nodes[i], tuple):
+            return nodes[i] if leaves is None else leaves.get(i, -1.0)
+        j, t, a, b = nodes[i]
+        return j, t, self._tree(nodes, a, leaves), self._tree(nodes, b, leaves)
 
     def _walk(self, tree, x) -> np.ndarray:
         if not isinstance(tree, tuple):
@@ -193,34 +211,116 @@ class Model:
     limits: dict = field(default_factory=dict)  # kind -> threshold; a kind without one gets no added spans
 
 
-def fit(texts: list[str]) -> Model:
-    """Model from sample texts."""
-    x, y, held = [], [], []
-    for i, t in enumerate(texts):
-        base = base_spans(t)
-        for c in sorted(set(candidates(t))):
-            hit = c in base
-            if hit or not valid(c[0], t[c[1]:c[2]]) or any(c[0] == k and c[1] < z and a < c[2] for k, a, z in base):
-                x.append(features(t, *c))
-                y.append(hit)
-                held.append(i % 4 == 0)
-    x, y, held = np.array(x, float).reshape(-1, 19), np.array(y, float), np.array(held, bool)
-    if len(y) < 40 or len(set(y[~held])) < 2:
+class _Counted:
+    """Counted candidates of one kind of label each: codes (numbers of cuts
+    below the features), labels and counts."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table, cuts: list, start: float):
+        self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+        # the cut at or above a feature compares with every cut as the feature does
+        upper = np.array([[*c, *[np.inf] * (CUTS + 1 - len(c))] for c in cuts])
+        self.x = upper[np.arange(WIDTH), self.codes]
+        self.y, self.n = (np.array(batch.column(c), float) for c in ("y", "n"))
+        self.z, self.seen = np.full(len(self.y), start), 0
+
+    def sums(self, boost: Boost, tree, k: int) -> np.ndarray:
+        for t in boost.trees[self.seen:]:
+            self.z += boost.rate * boost._walk(t, self.x)
+        self.seen = len(boost.trees)
+        q = 1 / (1 + np.exp(-self.z))
+        at = boost._walk(tree, self.x).astype(np.int64)
+        own = at >= 0
+        what = [(self.n * v)[own] for v in (1.0, self.y - q, q * (1 - q))]
+        out = np.empty((k, WIDTH, CUTS + 1, 3))
+        for j in range(WIDTH):
+            cell = at[own] * (CUTS + 1) + self.codes[own, j]
+            for v, w in enumerate(what):
+                out[:, j, :, v] = np.bincount(cell, w, k * (CUTS + 1)).reshape(k, -1)
+        return out
+
+
+def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(held, kind, y, x) of every candidate of the whole texts that the base decides."""
+    def run(batches):
+        kept()
+        for b in small(batches):
+            held, y, x = [], [], []
+            for own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                more = sorted(set(candidates(t))) if t else []
+                base = base_spans(t) if more else []
+                spans = {k: [(a, z) for kind, a, z in base if kind == k] for k in KINDS}
+                for k, a, z in more:
+                    before = bisect_left(spans[k], (z,)) - 1  # spans of a kind lie apart: the last that starts before the end
+                    cuts = before >= 0 and spans[k][before][1] > a
+                    hit = cuts and spans[k][before] == (a, z)
+                    if cuts or not valid(k, t[a:z]):
+                        held.append(own)
+                        y.append(int(hit))
+                        x.append([float(v) for v in features(t, k, a, z)])
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.bool_()), pa.array([int(v[0]) for v in x], pa.int32()), pa.array(y, pa.int32()),
+                                              pa.array(x, pa.list_(pa.float64()))], ["held", "kind", "y", "x"])
+
+    return (docs.select((F.pmod(F.xxhash64(doc_id), F.lit(4)) == 0).alias("held"), F.col(text).alias("t"))
+            .mapInArrow(run, "held boolean, kind int, y int, x array<double>"))
+
+
+def _coded(found: DataFrame, cuts: list) -> DataFrame:
+    """(held, kind, y, codes, n): the candidates counted by the codes of their features."""
+    def run(batches):
+        for b in batches:
+            x = np.array(b.column("x").flatten(), float).reshape(-1, WIDTH)
+            codes = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], 1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("held", "kind", "y")), pa.array([r.tobytes() for r in codes], pa.binary())],
+                                             ["held", "kind", "y", "codes"])
+
+    return (found.mapInArrow(run, "held boolean, kind int, y int, codes binary")
+            .groupBy("held", "kind", "y", "codes").agg(F.count("*").alias("n")))
+
+
+def fit(found: DataFrame, local_rows: int = LOCAL_ROWS) -> Model:
+    """Model from all judged candidates."""
+    spark = found.sparkSession
+    own = F.when(~F.col("held"), F.col("y"))
+    grid = F.array(*[F.lit(float(p)) for p in np.linspace(0.02, 0.98, CUTS)])
+    cell = lambda j: F.when(~F.col("held"), F.col("x")[j])
+    r = found.agg(F.count("*"), F.count(own), F.sum(own), *[F.percentile(cell(j), grid) for j in range(WIDTH)]).first()
+    if r[0] < 40 or not r[1] or r[2] in (0, r[1]):
         return Model()
-    m = Model(Boost().fit(x[~held], y[~held]))
-    p = m.trees.score(x)
-    for k, kind in enumerate(KINDS):
-        own = held & (x[:, 0] == k) & (y == 1)
-        if own.any():
-            m.limits[kind] = max(0.5, float(np.quantile(p[own], 1 - KEEP)))
+    cuts = [np.unique(c) for c in r[3:]]
+    counted = materialize(_coded(found, cuts), "pii-counted")
+    p = np.clip(r[2] / r[1], 1e-3, 1 - 1e-3)
+    start = float(np.log(p / (1 - p)))
+    rows = counted.where(~F.col("held")).select("codes", "y", "n")
+    if is_small(rows, local_rows):
+        total = _Counted(rows.orderBy("codes", "y").toArrow(), cuts, start).sums
+    else:
+        size = path_size(spark, counted.inputFiles()[0].rsplit("/", 1)[0])
+        spread_rows = spread(rows, size)
+
+        def total(boost, tree, k):
+            def run(batches):
+                out = np.zeros((k, WIDTH, CUTS + 1, 3))
+                for b in batches:
+                    out += _Counted(b, cuts, start).sums(boost, tree, k)
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+            return sum(np.frombuffer(x.sums).reshape(k, WIDTH, CUTS + 1, 3) for x in spread_rows.mapInArrow(run, "sums binary").collect())
+
+    m = Model(Boost(start=start).fit(total, cuts))
+
+    def score(batches):
+        for b in batches:
+            c = _Counted(b, cuts, start)
+            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(m.trees.score(c.x), pa.float64()), b.column("n")], ["kind", "p", "n"])
+
+    scored = counted.where("held and y = 1").mapInArrow(score, "kind int, p double, n long")
+    for r in scored.groupBy("kind").agg(F.percentile("p", 1 - KEEP, F.col("n")).alias("low")).collect():
+        m.limits[KINDS[r.kind]] = max(0.5, float(r.low))
     return m
 
 
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Model from the bounded sample of ``docs``."""
-    some = docs.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t")).where(
-        F.col("t").rlike("[0-9@]") & (F.length("t") <= FIT_CHARS))
-    return fit([r.t for r in lowest(some, FIT_DOCS)])
+    """Model from every whole text of ``docs``."""
+    return fit(materialize(judged(docs, text, doc_id), "pii-candidates"))
 
 
 def all_spans(text: str | None, model: Model) -> tuple[list, list]:

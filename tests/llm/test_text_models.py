@@ -61,6 +61,26 @@ def test_op3_keeps_the_base_and_adds_hidden_neighbours(spark, tables):
     assert Q["op3_personal_data"][0](spark, tables(documents=[])).count() == 0
 
 
+def test_op3_learns_from_every_whole_text(spark, monkeypatch):
+    """Long texts teach the model, and so do all candidates of a text; counts
+    summed by tasks give the model that the driver's sums give."""
+    rng = random.Random(11)
+    own = ["u%d@mail%d.example.com", "+1 (%d) 555-01%02d", "10.%d.7.%d", "411111111111%02d%02d", "4111 1111 1111 1%02d%d"]
+    long = [(i, prose(rng, 4000) + "".join(" " + rng.choice(own) % (rng.randrange(10, 99), rng.randrange(10, 99)) + " " + prose(rng, 3)
+                                           for _ in range(12))) for i in range(60)]
+    assert min(len(t) for _, t in long) > 20_000
+    docs = spark.createDataFrame([*long, (None, None), (70, ""), (71, long[0][1])], "doc_id long, text string")
+    found = pii.judged(docs)
+    want = sum(any(k == c[0] and a < c[2] and c[1] < z for k, a, z in base(t)) or not pii.valid(c[0], t[c[1]:c[2]])
+               for t in [t for _, t in long] + [long[0][1]] for c in set(pii.candidates(t)))
+    assert found.count() == want > 500
+    assert len(pii.train(docs).trees.trees) == 40
+    monkeypatch.setattr(pii.Boost, "__init__", lambda self, start: self.__dict__.update(rounds=2, depth=3, rate=0.2, start=start, trees=[]))
+    one, two = pii.fit(found), pii.fit(found, local_rows=0)
+    flat = lambda t: [x for v in t for x in flat(v)] if isinstance(t, tuple | list) else [t]
+    assert np.allclose(flat(one.trees.trees), flat(two.trees.trees)) and one.limits == pytest.approx(two.limits)
+
+
 def test_redaction_merges_overlaps():
     assert pii.redacted("ab cd ef", [("card", 0, 4), ("ip", 3, 5), ("email", 6, 8)]) == "<CARD> <EMAIL>"
 
