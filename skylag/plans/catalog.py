@@ -24,6 +24,7 @@ from ..operators import profile as PR
 from ..operators import search as S
 from ..operators import sessions as K
 from ..operators import stats as A
+from ..session import materialize
 from ..sources import fixtures as FX
 from ..sources import tables as TB
 from .sqltext import DIST_CASE, FEATURE_CTES, LATE, TEST, TRAIN, featured, slot_case, with_
@@ -49,12 +50,19 @@ def trips(spark, d):
     return FX.trips(spark, d)
 
 
+def written_trips(spark, d):
+    """The trips, joined once and written in even parts: a file of one row
+    group is read by one task, which then would do all the work behind it."""
+    t = trips(spark, d)
+    return materialize(t.repartition(F.xxhash64(*t.columns)), "trips")
+
+
 def cleaned(spark, d):
     return P.clean_flights(trips(spark, d))
 
 
-def prepared(spark, d):
-    return FE.add_route_features(FE.preprocess_flights(trips(spark, d)))
+def prepared(spark, d, flights=None):
+    return FE.add_route_features(FE.preprocess_flights(trips(spark, d) if flights is None else flights))
 
 
 def eda(spark, d):
@@ -176,7 +184,11 @@ REQ_SQL = ("req AS (SELECT flight_id, \"MONTH\" AS month, DAY_OF_WEEK AS day_of_
 def requests(spark, d):
     """Scoring requests shaped from trips (hours are HHMM // 100, so 24 occurs
     and is rejected by validation)."""
-    t = trips(spark, d)
+    return as_requests(trips(spark, d))
+
+
+def as_requests(t):
+    """``requests`` of given trips."""
     return t.select("flight_id", F.col("MONTH").alias("month"), F.col("DAY_OF_WEEK").alias("day_of_week"),
                     F.floor(F.col("SCHEDULED_DEPARTURE") / 100).cast("int").alias("scheduled_departure_hour"),
                     F.floor(F.col("SCHEDULED_ARRIVAL") / 100).cast("int").alias("scheduled_arrival_hour"),
@@ -1170,7 +1182,6 @@ S6_CTES = [
 def s6_metrics_table(spark, d):
     """Metrics as a long (task, metric, value) table and its API subset
     (core metrics, absent -> 0.0), for the route-rate pseudo-score."""
-    from ..session import materialize
     s = materialize(scored_test(spark, d), "scored-test")     # read by three metric families
     cls = M.classifier_metrics(s, threshold=0.25)
     auc = M.roc_auc(s)

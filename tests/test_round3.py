@@ -178,3 +178,14 @@ def test_box_summary_from_value_counts(spark):
     got = {r.g: tuple(r)[1:] for r in PR.box_summary(df, "v", ["g"]).collect()}
     assert got == {g: want(np.array([v for k, v in rows if k == g and v is not None])) for g in "abc"}
     assert tuple(PR.box_summary(df, "v").first()) == want(np.array([v for _, v in rows if v is not None]))
+
+
+def test_request_features_join_the_trips_once(spark):
+    """The fit and the requests read one written table of trips, with the rows of the joined one."""
+    from skylag.plans import catalog as CT
+    from skylag.plans.logs import Q
+    d = "/root/testdata/sf0.001"
+    plan = Q["e9_request_features"][0](spark, d)._jdf.queryExecution().toString()
+    assert "l_orderkey" not in plan and "o_custkey" not in plan
+    a, b = CT.trips(spark, d), CT.written_trips(spark, d)
+    assert a.count() == b.count() and a.exceptAll(b).isEmpty()
