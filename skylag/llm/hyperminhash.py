@@ -190,7 +190,8 @@ def _similar(x: set, y: set, percent: int) -> bool:
 def _confirm(pairs: DataFrame, full: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose estimate and whose full sets agree.
     Only documents that occur in a pair are moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # written: the size check, the lookup and its broadcast read the ids, not the pairs again
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "hmh-ids")
     some = full.join(sized_broadcast(ids), "doc_id", "left_semi").select("doc_id", "n_shingles", "regs", "text")
     side = lambda k: some.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n_shingles", "regs", "text")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")

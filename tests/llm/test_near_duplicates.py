@@ -91,6 +91,21 @@ def test_op2_without_broadcasts(spark, tables, monkeypatch):
     check(spark, tables, docs)
 
 
+def test_op2_expands_the_pairs_once(spark, tables, monkeypatch):
+    """The ids of the compared pairs are written before their size is checked and they are joined."""
+    written = {}
+    keep = hyperminhash.materialize
+
+    def noted(df, name, *args, **kwargs):
+        written.setdefault(name, []).append(out := keep(df, name, *args, **kwargs))
+        return out
+    monkeypatch.setattr(hyperminhash, "materialize", noted)
+    Q["op2_hyperminhash"][0](spark, tables(documents=documents())).count()
+    assert len(written["hmh-ids"]) == len(written["hmh-pairs"])
+    for ids, pairs in zip(written["hmh-ids"], written["hmh-pairs"], strict=True):
+        assert sorted(r.doc_id for r in ids.collect()) == sorted({i for r in pairs.collect() for i in (r.a, r.b)})
+
+
 def test_op2_same_id_and_empty(spark, tables):
     check(spark, tables, [(1, "a b c d"), (1, "x y z w"), (2, "x y z w"), (3, "a b c d"), (4, ""), (5, None), (6, " ")])
     assert Q["op2_hyperminhash"][0](spark, tables(documents=[])).count() == 0
