@@ -39,7 +39,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -352,11 +352,15 @@ def _pivots(buckets: DataFrame, comp: DataFrame | None, rnd: int) -> tuple[DataF
 
 def _cross(mixed: DataFrame, percent: int) -> DataFrame:
     """Near pairs of a bucket's members outside its largest component, and of
-    these with that component where it is a single document."""
-    minor = mixed.where("comp <> major").select("key", "id", "comp", "mark")
-    other = mixed.where("comp <> major or n_major = 1").select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"),
-                                                               F.col("mark").alias("mark2"))
-    return (minor.join(other, "key").where("comp <> comp2").where(_near("mark", "mark2", percent))
+    these with that component where it is a single document. Two documents of
+    several such buckets meet in the least of these alone, and once there."""
+    # by mark, as rows with one doc_id can have several texts, each with its own buckets
+    several = Window.partitionBy("id", "mark")
+    some = mixed.where("comp <> major or n_major = 1").withColumn("keys", F.collect_set("key").over(several))
+    minor = some.where("comp <> major").select("key", "id", "comp", "mark", "keys")
+    other = some.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "comp", "mark", "keys")], (F.col("comp") == F.col("major")).alias("single"))
+    return (minor.join(other, "key").where("comp <> comp2 and (single or id < id2)").where(_near("mark", "mark2", percent))
+            .where("key = array_min(array_intersect(keys, keys2))")
             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")))
 
 

@@ -139,6 +139,18 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_op2_pairs_of_several_buckets_are_made_once(spark):
+    """Of documents left in shared buckets each near pair is made once; a doc_id with two texts meets by either of them."""
+    mark = lambda n: (n, *[0] * hyperminhash.SIGNATURE)
+    schema = ("key long, id long, mark struct<n_shingles: long, " + ", ".join(f"s{i}: long" for i in range(hyperminhash.SIGNATURE))
+              + ">, comp long, major long, n_major long")
+    rows = [(k, i, mark(100), i, 1 if k < 6 else 9, 1 if k < 6 else 3) for k in range(8) for i in (1, 2, 3, 4)]
+    # 6 has a text of another size in bucket 20, of this size in bucket 21; both buckets hold 5
+    rows += [(20, 5, mark(100), 5, 9, 3), (21, 5, mark(100), 5, 9, 3), (20, 6, mark(900), 6, 9, 3), (21, 6, mark(100), 6, 9, 3)]
+    got = [tuple(r) for r in hyperminhash._cross(spark.createDataFrame(rows, schema), 80).collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 6)]
+
+
 def vectors(n=120, dim=16, seed=2):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, dim)).astype(np.float32)
